@@ -22,10 +22,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_differently(map_jobs(table(spark, d, "jobs_clean"), regions, categories), regions, categories)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.lookalike import same_to_the_eye
+
+    return same_to_the_eye(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p3_found": p3_found,
+        "p10_found": p10_found,
     }
 
 
