@@ -22,6 +22,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_differently(map_jobs(table(spark, d, "jobs_clean"), regions, categories), regions, categories)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.mojibake import find_garbled, listing_texts
+
+    return find_garbled(listing_texts(table(spark, d, "raw_pages"), table(spark, d, "jobs_clean"))).select("src_table", "row_id")
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.mojibake import find_garbled, listing_texts
+
+    return find_garbled(listing_texts(table(spark, d, "raw_pages"), table(spark, d, "jobs_clean"))).select("src_table", "row_id", "chain", "restored")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.lookalike import same_to_the_eye
 
@@ -32,6 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p3_found": p3_found,
+        "p7_found": p7_found,
+        "p7_repaired": p7_repaired,
         "p10_found": p10_found,
     }
 
