@@ -22,6 +22,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_differently(map_jobs(table(spark, d, "jobs_clean"), regions, categories), regions, categories)
 
 
+def _judged_values(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.truncation import judge_truncation, listing_values
+
+    return judge_truncation(listing_values(table(spark, d, "jobs_clean"), table(spark, d, "posts")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged_values(spark, d).where("cut").select("src_table", "row_id")
+
+
+def p4_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.truncation import truncation_rates
+
+    return truncation_rates(_judged_values(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mojibake import find_garbled, listing_texts
 
@@ -44,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_source_rates": p4_source_rates,
         "p7_found": p7_found,
         "p7_repaired": p7_repaired,
         "p10_found": p10_found,
