@@ -38,6 +38,12 @@ def p4_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(_judged_values(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.history import repeats
+
+    return repeats(table(spark, d, "jobs_clean"), table(spark, d, "regions"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mojibake import find_garbled, listing_texts
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_source_rates": p4_source_rates,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_repaired": p7_repaired,
         "p10_found": p10_found,
