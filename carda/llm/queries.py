@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carda.session import table
 
@@ -38,6 +39,15 @@ def p4_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation_rates(_judged_values(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.blocks import main_blocks
+    from carda.llm.mojibake import find_garbled, listing_texts
+
+    pages = table(spark, d, "raw_pages").where("http_status = 200").select("id", "source_site", "raw_html")
+    garbled = find_garbled(listing_texts(table(spark, d, "raw_pages"), None)).select(F.col("row_id").alias("id"))
+    return main_blocks(pages.join(garbled, "id", "left_anti")).select("page_id", "block_md5").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.history import repeats
 
@@ -68,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_source_rates": p4_source_rates,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_repaired": p7_repaired,
