@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from carda.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.pii import find_items, listing_texts
+
+    return find_items(listing_texts(table(spark, d, "jobs_clean"), table(spark, d, "posts"))).select("src_table", "row_id", "pii_type", "start_pos")
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.pii import listing_texts, mask_text
+
+    return mask_text(listing_texts(table(spark, d, "jobs_clean"), table(spark, d, "posts"))).select("src_table", "row_id", "masked")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.survivor import surviving_fields
 
@@ -74,6 +86,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_masked": p1_masked,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
