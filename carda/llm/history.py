@@ -12,7 +12,10 @@ to the lower id; repeated ids count once; empty tables give empty results; extra
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carda.functions.chars import fold_accents, fold_han, fold_width
+from carda.functions.chars import TRADITIONAL, fold_accents, fold_han, fold_py, fold_width
 from carda.operators.graph import connected_components
 from carda.session import checkpoint_dir, cut, fixed_rows
 
@@ -73,7 +76,7 @@ def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
     return np.unique((s & _MASK).astype(np.uint32))
 
 
-def _band_keys(texts: pd.Series) -> pd.Series:
+def _band_keys(texts: pd.Series) -> list[list[int]]:
     a, b = _seeds()
     out = []
     for t in texts:
@@ -88,8 +91,8 @@ def _band_keys(texts: pd.Series) -> pd.Series:
         for r in range(ROWS):
             key = (key ^ sig[:, r]) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(28)
-        out.append(((key << np.uint64(6)) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
-    return pd.Series(out)
+        out.append(((key << np.uint64(6)) + np.arange(BANDS, dtype=np.uint64) * np.uint64(2)).view(np.int64).tolist())
+    return out
 
 
 def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -101,13 +104,27 @@ def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def normal_words(c: Column) -> Column:
+# What stands in front of a republished advert.
+_REPOST = re.compile(r"^(?:(?:urgente|republicado|急招|再次发布|重新发布|hoy|nuevo|新店)\b ?)+ ?")
+_FOLD = str.maketrans(
+    {c: fold_py(chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F), *(ord(x) for x in TRADITIONAL), 0x3000, 0xA0] if fold_py(chr(c)) != chr(c)}
+)
+_FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
+_GAPS = re.compile(r"[\W_]+")
+
+
+def normal_words(text: str | None) -> str:
     """Width, case, accents and traditional forms folded, everything but letters and digits one space."""
-    return F.btrim(F.regexp_replace(fold_han(fold_accents(F.lower(fold_width(c)))), r"[^\p{L}\p{N}]+", " "))
+    if not text:
+        return ""
+    low = text.lower()
+    return _GAPS.sub(" ", low.translate(_FOLD) if _FOLDABLE.search(low) else low).strip()
 
 
-# What stands in front of a republished advert.
-_REPOST = r"^(?:urgente|republicado|急招(?= )|再次发布|重新发布|hoy|nuevo|新店| )+ ?"
+def _words_of(titles: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    words = [_REPOST.sub("", normal_words(t)) for t in texts]
+    digests = [hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words]
+    return pd.DataFrame({"words": words, "title_words": [normal_words(t) for t in titles], "digest": [int.from_bytes(d, "big", signed=True) for d in digests]})
 
 
 def shop_key(company: Column) -> Column:
@@ -132,8 +149,6 @@ def same_address(url: Column) -> Column:
 
 def town_key(spark: SparkSession, regions: DataFrame) -> dict[str, int]:
     """Town names and their halves, folded, with the town's id. The reference list is fixed."""
-    from carda.functions.chars import fold_py
-
     out: dict[str, int] = {}
     for r in regions.where("level = 1").select("id", "name").collect():
         a, _, b = r["name"].partition(" ")
@@ -144,38 +159,56 @@ def town_key(spark: SparkSession, regions: DataFrame) -> dict[str, int]:
 
 
 def prepare(jobs: DataFrame, regions: DataFrame) -> DataFrame:
-    """The columns matching needs: words of title and description, brand, town and keys."""
+    """The columns matching needs. ``text_id`` stands for one text of one shop in one town; copies share it."""
     towns = town_key(jobs.sparkSession, regions)
     names = "|".join(sorted(towns, key=len, reverse=True)) or "(?!)"
     ids = fixed_rows(jobs.sparkSession, sorted(towns.items()), "town_name string, town int")
-    words = F.regexp_replace(normal_words(F.col("description")), _REPOST, "")
-    first = jobs.dropDuplicates(["id"]).select(
+    fold = F.pandas_udf(_words_of, "struct<words:string,title_words:string,digest:bigint>")
+    x = jobs.select(
         "id",
         "collected_at",
-        F.coalesce(words, F.lit("")).alias("words"),
-        F.coalesce(normal_words(F.col("title")), F.lit("")).alias("title_words"),
+        fold("title", "description").alias("w"),
         shop_key(F.col("company")).alias("shop"),
         fold_han(fold_accents(F.lower(fold_width(F.coalesce("city", F.lit("")))))).alias("city_words"),
         F.nullif(F.col("contact_key"), F.lit("")).alias("contact_key"),
         "simhash",
         same_address(F.col("source_url")).alias("url"),
-    )
+    ).select("*", "w.words", "w.title_words", "w.digest")
     found = lambda c: F.nullif(F.regexp_extract(c, f"({names})", 1), F.lit(""))
-    named = first.withColumn("town_name", F.coalesce(found(F.col("words")), found(F.col("title_words")), found(F.col("city_words"))))
-    return named.join(F.broadcast(ids), "town_name", "left").drop("town_name", "city_words")
+    named = x.withColumn("town_name", F.coalesce(found(F.col("words")), found(F.col("title_words")), found(F.col("city_words"))))
+    named = named.join(F.broadcast(ids), "town_name", "left")
+    same_text = F.xxhash64("digest", F.length("words"), F.coalesce("shop", F.lit("")), F.coalesce("town", F.lit(0)))
+    text_id = F.when(F.col("words") != "", same_text).otherwise(F.xxhash64(F.lit("row"), "id"))
+    return named.select("id", "collected_at", text_id.alias("text_id"), "words", "title_words", "shop", "town", "contact_key", "simhash", "url")
+
+
+def _text_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Band keys of every text; a text repeated nearby gives its keys once, so that copies do not pile up in a bucket."""
+    seen: set[int] = set()
+    for pdf in batches:
+        if len(seen) > 1_000_000:
+            seen.clear()
+        pdf = pdf.drop_duplicates("text_id")
+        pdf = pdf[~pdf["text_id"].isin(seen)] if seen else pdf
+        seen.update(pdf["text_id"].tolist())
+        keys = _band_keys(pdf["words"])
+        yield pd.DataFrame({"text_id": np.repeat(pdf["text_id"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate([*keys, np.empty(0, np.int64)]).astype(np.int64)})
 
 
 def probe_keys(rows: DataFrame) -> DataFrame:
-    """(rep, key): bands of the minwise signature, contact with each fingerprint block, and the address."""
-    bands = F.pandas_udf(_band_keys, "array<bigint>")
-    text = rows.where("words <> ''").select("rep", F.explode(bands("words")).alias("key"))
-    blocks = F.array(*[F.xxhash64(F.lit(i), F.col("contact_key"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(65535), F.substring("title_words", 1, 40)) for i in range(4)])
-    contact = rows.where("contact_key is not null and simhash is not null and simhash <> 0").select("rep", F.explode(blocks).alias("key"))
-    url = rows.where("url is not null").select("rep", F.xxhash64(F.lit("url"), "url").alias("key"))
+    """(text_id, key): bands of the minwise signature, contact with each fingerprint block, and the address.
+
+    The lowest bit of a key tells addresses (1) from the rest.
+    """
+    text = rows.where("words <> ''").select("text_id", "words").mapInPandas(_text_keys, "text_id long, key long")
+    even = lambda k: k.bitwiseAND(F.lit(-2))
+    blocks = F.array(*[even(F.xxhash64(F.lit(i), F.col("contact_key"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(65535), "title_words")) for i in range(4)])
+    contact = rows.where("contact_key is not null and simhash is not null and simhash <> 0").select("text_id", F.explode(blocks).alias("key"))
+    url = rows.where("url is not null").select("text_id", F.xxhash64("url").bitwiseOR(F.lit(1)).alias("key"))
     return text.unionByName(contact).unionByName(url)
 
 
-_SIDE = ("rep", "words", "title_words", "shop", "town", "url")
+_SIDE = ("text_id", "words", "title_words", "shop", "town")
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -191,65 +224,58 @@ def verified(pairs: DataFrame) -> DataFrame:
     towns = F.col("town_a").isNull() | F.col("town_b").isNull() | (F.col("town_a") == F.col("town_b"))
     x = pairs.where(towns & shops).withColumn("contained", contained("words_a", "words_b"))
     x = x.withColumn("opening", F.when(~a & ~b, contained(F.substring("words_a", 1, 34), F.substring("words_b", 1, 34))).otherwise(F.lit(1.0)))
-    same_url = F.coalesce(F.col("url_a") == F.col("url_b"), F.lit(False))
-    return x.where(((F.col("contained") >= CONTAINED) & (F.col("opening") >= 0.8)) | (same_url & ((F.col("contained") >= 0.3) | (F.col("words_a") == "") | (F.col("words_b") == ""))))
-
-
-def _with_reps(rows: DataFrame) -> DataFrame:
-    """Rows with texts are collapsed to one representative per text, shop and town; rows without stay alone."""
-    keyed = rows.withColumn("h", F.xxhash64("words", F.coalesce("shop", F.lit("")), F.coalesce("town", F.lit(0))))
-    first = keyed.where("words <> ''").groupBy("h", "words").agg(F.min(F.struct("collected_at", "id")).alias("f")).select("h", F.col("words").alias("w"), F.col("f.id").alias("first_id"))
-    return keyed.join(first, (keyed.h == first.h) & (keyed.words == first.w), "left").select(keyed["*"], F.coalesce("first_id", "id").alias("rep")).drop("h")
+    return x.where(((F.col("contained") >= CONTAINED) & (F.col("opening") >= 0.8)) | (F.col("same_url") & ((F.col("contained") >= 0.3) | (F.col("words_a") == "") | (F.col("words_b") == ""))))
 
 
-def _store_path(spark: SparkSession) -> str:
+def _shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
 
 
-def _write_keys(keys: DataFrame, path: str) -> None:
-    """Append (rep, key) partitioned by a hash of the key."""
-    part = F.pmod("key", F.lit(_PARTITIONS)).cast("int")
-    keys.withColumn("part", part).repartition("part").write.mode("append").partitionBy("part").parquet(path)
+def _bucketed(keys: DataFrame, buckets: int) -> DataFrame:
+    """The keys as a table in the shared folder, bucketed and sorted by key: later joins on key need no exchange."""
+    spark = keys.sparkSession
+    name = f"history_{uuid.uuid4().hex}"
+    one = keys.repartition(buckets, "key").dropDuplicates(["key", "text_id"])
+    one.write.bucketBy(buckets, "key").sortBy("key").option("path", _shared_folder(spark)).saveAsTable(name)
+    return spark.table(name)
 
 
-def _links(probe: DataFrame, stored: DataFrame, reps: DataFrame, earlier_only: bool) -> DataFrame:
-    """(a, b): verified pairs of a probing and a stored representative that share a bucket."""
-    busy = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key") if earlier_only else None
-    left = probe.join(busy, "key", "left_semi") if busy is not None else probe
-    right = stored.join(busy, "key", "left_semi") if busy is not None else stored
-    p = left.select("key", F.col("rep").alias("rep_b")).join(right.select("key", F.col("rep").alias("rep_a")), "key")
-    p = p.where("rep_a < rep_b" if earlier_only else "rep_a <> rep_b").select("rep_a", "rep_b").distinct()
-    side = lambda x: reps.select(*[F.col(c).alias(f"{c}_{x}") for c in _SIDE])
-    return verified(p.join(side("a"), "rep_a").join(side("b"), "rep_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+def _verified_links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of the candidate pairs (a, b, same_url) that verification keeps; only the texts they need are moved."""
+    pairs = cut(pairs)
+    need = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    texts = cut(rows.select(*_SIDE).join(need, "text_id", "left_semi").dropDuplicates(["text_id"]))
+    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in _SIDE])
+    both = pairs.join(side("a"), pairs.a == F.col("text_id_a")).join(side("b"), pairs.b == F.col("text_id_b"))
+    return verified(both).select("a", "b")
 
 
 def vacancies(jobs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(id, collected_at, vacancy, accepted_id): every row with its vacancy and the row accepted for it.
+    """(id, collected_at, vacancy, accepted_id): rows of vacancies stated more than once, with the accepted row.
 
     The whole table is one load: the keys of all texts are written to the store, every text probes the buckets its
     keys fall in, and verified links are closed over. The first row of a vacancy by collected_at, then id, is accepted.
     """
     spark = jobs.sparkSession
-    rows = cut(_with_reps(prepare(jobs, regions)))
-    # of the rows sharing a representative each contact and address probes, the text only once
-    bands = F.pandas_udf(_band_keys, "array<bigint>")
-    text = rows.where("id = rep and words <> ''").select("rep", F.explode(bands("words")).alias("key"))
-    other = probe_keys(rows.withColumn("words", F.lit("")))
-    path = _store_path(spark)
-    _write_keys(text.unionByName(other).distinct(), path)
-    stored = spark.read.parquet(path).select("rep", "key")
-    reps = rows.where("id = rep").select(*_SIDE)
-    links = cut(_links(stored, stored, reps, True))
-    parts = connected_components(links)
-    named = rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("id", "collected_at", F.coalesce("component", "rep").alias("vacancy"))
-    accepted = named.groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("accepted_id"))
+    folder = _shared_folder(spark)
+    prepare(jobs, regions).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = _bucketed(probe_keys(rows), buckets)
+    busy = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    held = stored.join(busy, "key")
+    pairs = held.select("key", F.col("text_id").alias("a")).join(held.select("key", F.col("text_id").alias("b")), "key").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("same_url"))
+    parts = connected_components(_verified_links(pairs, rows))
+    named = rows.select("id", "collected_at", "text_id").join(parts.withColumnRenamed("node", "text_id"), "text_id", "left").select("id", "collected_at", F.coalesce("component", "text_id").alias("vacancy"))
+    accepted = named.groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("accepted_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return named.join(accepted, "vacancy").select("id", "collected_at", "vacancy", "accepted_id")
 
 
 def repeats(jobs: DataFrame, regions: DataFrame) -> DataFrame:
     """(job_id_a, job_id_b): each later row of a vacancy with the accepted one, smaller id first."""
     v = vacancies(jobs, regions).where("id <> accepted_id")
-    return v.select(F.least("id", "accepted_id").alias("job_id_a"), F.greatest("id", "accepted_id").alias("job_id_b"))
+    return v.select(F.least("id", "accepted_id").alias("job_id_a"), F.greatest("id", "accepted_id").alias("job_id_b")).distinct()
 
 
 class HistoryStore:
@@ -266,25 +292,25 @@ class HistoryStore:
 
     def add_batch(self, batch: DataFrame) -> DataFrame:
         """(id, accepted_id) of the batch; only accepted records' keys and texts are appended to the store."""
-        spark = self.spark
-        rows = cut(_with_reps(prepare(batch, self.regions)))
-        records = self._read("records", "rep long, words string, title_words string, shop string, town int, url string, collected_at timestamp_ntz")
-        known = self._read("keys", "rep long, key long, part int")
-        mine = cut(probe_keys(rows.withColumn("rep", F.col("id"))).distinct().withColumn("part", F.pmod("key", F.lit(_PARTITIONS)).cast("int")))
-        own = rows.withColumn("rep", F.col("id"))
-        reps = own.select(*_SIDE).unionByName(records.select(*_SIDE))
-        # matching buckets only: the join on part prunes the store's folders to the parts the batch touches
-        parts = [r["part"] for r in mine.select("part").distinct().collect()]  # at most _PARTITIONS
-        old = known.where(F.col("part").isin(parts)) if parts else known.limit(0)
-        back = _links(mine.select("rep", "key"), old.select("rep", "key"), reps, False).select(F.col("a"), F.col("b"))
-        within = _links(mine.select("rep", "key"), mine.select("rep", "key"), own.select(*_SIDE), True)
-        graph = cut(back.unionByName(within))
-        comp = connected_components(graph)
-        named = own.select("id", "collected_at").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        old_first = comp.join(records.select(F.col("rep").alias("node"), "collected_at"), "node").groupBy("component").agg(F.min(F.struct("collected_at", "node"))["node"].alias("old"))
-        new_first = named.groupBy("component").agg(F.min(F.struct("collected_at", "id"))["id"].alias("new"))
-        done = cut(named.join(new_first, "component").join(old_first, "component", "left").select("id", F.coalesce("old", "new").alias("accepted_id")))
-        fresh = done.where("id = accepted_id").select(F.col("id").alias("rep"))
-        _write_keys(mine.select("rep", "key").join(fresh, "rep", "left_semi"), f"{self.path}/keys")
-        own.select(*_SIDE, "collected_at").join(fresh, "rep", "left_semi").write.mode("append").parquet(f"{self.path}/records")
-        return done
+        rows = cut(prepare(batch, self.regions))
+        records = self._read("records", "text_id long, words string, title_words string, shop string, town int, id long, collected_at timestamp_ntz")
+        known = self._read("keys", "text_id long, key long, part int")
+        part = F.pmod("key", F.lit(_PARTITIONS)).cast("int")
+        mine = cut(probe_keys(rows).distinct().withColumn("part", part))
+        # matching buckets only: the store is read in the parts the batch's keys fall in, at most _PARTITIONS of them
+        parts = [r["part"] for r in mine.select("part").distinct().collect()]
+        old = known.where(F.col("part").isin(parts)).select("key", F.col("text_id").alias("a"))
+        new = mine.select("key", F.col("text_id").alias("b"))
+        pairs = old.join(new, "key").where("a <> b").unionByName(mine.select("key", F.col("text_id").alias("a")).join(new, "key").where("a < b"))
+        pairs = pairs.groupBy("a", "b").agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("same_url"))
+        links = _verified_links(pairs, rows.select(*_SIDE).unionByName(records.select(*_SIDE)))
+        comp = cut(connected_components(links))
+        group = lambda d: d.join(comp.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("vacancy", F.coalesce("component", "text_id"))
+        both = group(rows.select("id", "collected_at", "text_id")).unionByName(group(records.select("id", "collected_at", "text_id")))
+        first = both.groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("first"))
+        held = group(records.select("id", "collected_at", "text_id")).groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("held"))
+        done = cut(group(rows.select("id", "collected_at", "text_id")).join(first, "vacancy").join(held, "vacancy", "left").select("id", "text_id", F.coalesce("held", "first").alias("accepted_id")))
+        fresh = done.where("id = accepted_id").select("id", "text_id")
+        mine.join(fresh.select("text_id").distinct(), "text_id", "left_semi").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
+        rows.select(*_SIDE, "id", "collected_at").join(fresh.select("id"), "id", "left_semi").write.mode("append").parquet(f"{self.path}/records")
+        return done.select("id", "accepted_id")

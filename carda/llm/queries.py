@@ -78,6 +78,12 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     return find_garbled(listing_texts(table(spark, d, "raw_pages"), table(spark, d, "jobs_clean"))).select("src_table", "row_id", "chain", "restored")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.lookalike import same_to_the_eye
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_repaired": p7_repaired,
+        "p8_found": p8_found,
         "p10_found": p10_found,
     }
 
