@@ -28,7 +28,7 @@ from carda.operators.graph import connected_components
 from carda.session import checkpoint_dir, cut, fixed_rows
 
 #: Word shingles of a signature, bands and rows of the signature matrix.
-SHINGLE, BANDS, ROWS = 5, 24, 5
+SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Share of the smaller text's shingles the larger one holds, at least, to be one advert lightly edited.
 CONTAINED = 0.7
 _PARTITIONS = 64
@@ -41,64 +41,77 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return a, rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
-def _token_hashes(text: str) -> np.ndarray:
-    """Hashes of a text's words in order; each Han character is a word, runs of other letters and digits are words."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    if not len(cp):
-        return cp
-    han = (cp >= 0x3400) & (cp <= 0x9FFF)
-    space = cp == 32
-    start = np.empty(len(cp), bool)
-    start[0] = True
-    start[1:] = han[1:] | han[:-1] | space[1:] | space[:-1]
-    at = np.flatnonzero(start)
-    word = np.arange(len(cp)) - np.repeat(at, np.diff(np.append(at, len(cp))))
-    mixed = (cp + np.uint64(1)) * _POWERS[word % len(_POWERS)]
-    h = np.add.reduceat(mixed, at)
-    h = h[~space[at]]
-    h ^= h >> np.uint64(31)
-    return h * np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.array([pow(0x100000001B3, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+_CHUNK = 512
 
 
-_POWERS = np.array([pow(0x100000001B3, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+def _shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the k-word shingles of all texts, and where each text's begin; a short text is one shingle.
+
+    Each Han character is a word, runs of other letters and digits are words. Texts without words have no shingles.
+    """
+    joined = "\n".join(texts) + "\n"
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    han = (cp >= 0x3400) & (cp <= 0x9FFF)
+    gap = (cp == 32) | (cp == 10)
+    first = np.empty(len(cp), bool)
+    first[0] = True
+    first[1:] = han[1:] | han[:-1] | gap[1:] | gap[:-1]
+    at = np.flatnonzero(first)
+    place = np.arange(len(cp)) - np.repeat(at, np.diff(np.append(at, len(cp))))
+    h = np.add.reduceat((cp + np.uint64(1)) * _POWERS[place & 63], at)
+    ends = np.cumsum(cp[at] == 10)  # the text a word belongs to
+    word = ~gap[at]
+    h, owner = h[word], (ends - (cp[at] == 10))[word]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    counts = np.bincount(owner, minlength=len(texts))
+    begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    n = np.where(counts > 0, np.maximum(1, counts - k + 1), 0)
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    src = np.repeat(begin - starts, n) + np.arange(n.sum())
+    left = np.repeat(begin + counts, n) - src  # words from here to the text's end
+    s = np.zeros(len(src), np.uint64)
+    padded = np.concatenate((h, np.zeros(k, np.uint64)))
+    for j in range(k):
+        s = s * np.uint64(0xD6E8FEB86659FD93) + np.where(left > j, padded[src + j], np.uint64(0))
+    s ^= s >> np.uint64(32)
+    return (s & _MASK).astype(np.uint32), np.concatenate((starts, [n.sum()]))
 
 
 def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
-    """Distinct 32-bit hashes of the k-word shingles; a shorter text is one shingle."""
-    h = _token_hashes(text)
-    if not len(h):
-        return np.empty(0, np.uint32)
-    n = max(1, len(h) - k + 1)
-    s = np.zeros(n, np.uint64)
-    for j in range(min(k, len(h))):
-        s = s * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n]
-    s ^= s >> np.uint64(32)
-    return np.unique((s & _MASK).astype(np.uint32))
+    """Distinct shingle hashes of one text."""
+    return np.unique(_shingles([text], k)[0])
 
 
-def _band_keys(texts: pd.Series) -> list[list[int]]:
+def _band_keys(texts: list[str]) -> np.ndarray:
+    """(texts, BANDS) keys; rows of texts without words are meaningless."""
     a, b = _seeds()
-    out = []
-    for t in texts:
-        s = shingle_hashes(t)
-        if not len(s):
-            out.append([])
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    for lo in range(0, len(texts), _CHUNK):
+        part = texts[lo : lo + _CHUNK]
+        s, starts = _shingles(part, SHINGLE)
+        some = np.flatnonzero(np.diff(starts))
+        if not len(some):
             continue
-        x = s[None, :] * a[:, None] + b[:, None]
-        x ^= x >> np.uint32(15)
-        sig = (x * np.uint32(0x2C1B3C6D)).min(axis=1).reshape(BANDS, ROWS)
-        key = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            key = (key ^ sig[:, r]) * np.uint64(0x9FB21C651E98DF25)
+        at = starts[some]
+        key = np.zeros(len(some), np.uint64)
+        for j in range(BANDS * ROWS):
+            x = s * a[j]
+            x += b[j]
+            x ^= x >> np.uint32(15)
+            key = (key ^ np.minimum.reduceat(x, at)) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(28)
-        out.append(((key << np.uint64(6)) + np.arange(BANDS, dtype=np.uint64) * np.uint64(2)).view(np.int64).tolist())
-    return out
+            if j % ROWS == ROWS - 1:
+                out[lo + some, j // ROWS] = (key << np.uint64(6)) + np.uint64(2 * (j // ROWS))
+                key = np.zeros(len(some), np.uint64)
+    return out.view(np.int64)
 
 
 def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):
-        p, q = shingle_hashes(x, 3), shingle_hashes(y, 3)
+        p, q = shingle_hashes(x or "", 3), shingle_hashes(y or "", 3)
         small = min(len(p), len(q))
         out.append(len(np.intersect1d(p, q, assume_unique=True)) / small if small else 0.0)
     return pd.Series(out)
@@ -191,8 +204,8 @@ def _text_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pdf.drop_duplicates("text_id")
         pdf = pdf[~pdf["text_id"].isin(seen)] if seen else pdf
         seen.update(pdf["text_id"].tolist())
-        keys = _band_keys(pdf["words"])
-        yield pd.DataFrame({"text_id": np.repeat(pdf["text_id"].to_numpy(), [len(k) for k in keys]), "key": np.concatenate([*keys, np.empty(0, np.int64)]).astype(np.int64)})
+        keys = _band_keys(pdf["words"].tolist())
+        yield pd.DataFrame({"text_id": np.repeat(pdf["text_id"].to_numpy(), BANDS), "key": keys.ravel()})
 
 
 def probe_keys(rows: DataFrame) -> DataFrame:
@@ -263,7 +276,7 @@ def vacancies(jobs: DataFrame, regions: DataFrame) -> DataFrame:
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stored = _bucketed(probe_keys(rows), buckets)
     busy = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = stored.join(busy, "key")
+    held = cut(stored.join(busy, "key").select("key", "text_id"))
     pairs = held.select("key", F.col("text_id").alias("a")).join(held.select("key", F.col("text_id").alias("b")), "key").where("a < b")
     pairs = pairs.groupBy("a", "b").agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("same_url"))
     parts = connected_components(_verified_links(pairs, rows))

@@ -26,15 +26,18 @@ from pyspark.sql import functions as F
 from carda.functions.chars import SIMPLIFIED, TRADITIONAL
 
 #: Hashed terms, rank of the latent space, oversampling of the range finder.
-TERMS, RANK, OVER = 8192, 96, 16
+TERMS, RANK, OVER = 8192, 64, 8
 #: Words of a passage and between the starts of two passages.
-PASSAGE, STRIDE = 60, 30
+PASSAGE, STRIDE = 64, 48
 #: Cosine that makes a candidate, and the share of the item's words that must stand in order.
 COSINE, SHARE = 0.30, 0.5
+#: Share from which wording alone decides.
+CLEAR = 0.62
 MAX_ITEMS = 20_000
 
 _HAN_FOLD = str.maketrans(TRADITIONAL, SIMPLIFIED)
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#x?[0-9a-f]{1,6};", re.I)
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[a-z]+|\d+")
 # Cyrillic and Greek letters drawn like Latin ones.
 _LOOK = str.maketrans("аеорсухіјѕοαειυνρτκ", "aeopcyxijsoaeiuvptk")
@@ -49,7 +52,7 @@ def words(text: str | None) -> list[str]:
         t = _TAG.sub(" ", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t)
-        t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        t = _MARKS.sub("", t)
         t = t.lower().translate(_LOOK).translate(_HAN_FOLD)
     else:
         t = t.lower()
@@ -57,20 +60,9 @@ def words(text: str | None) -> list[str]:
 
 
 @lru_cache(maxsize=500_000)
-def _term(s: str) -> int:
-    return zlib.crc32(s.encode()) % TERMS
-
-
-def _is_han(w: str) -> bool:
-    return w >= "぀"
-
-
-def term_ids(ws: list[str]) -> np.ndarray:
-    """Hashed terms: word bigrams and long words; for Han also trigrams."""
-    out = [w for w in ws if len(w) > 3]
-    out += [a + " " + b for a, b in zip(ws, ws[1:])]
-    out += [a + b + c for a, b, c in zip(ws, ws[1:], ws[2:]) if _is_han(a)]
-    return np.asarray([_term(x) for x in out], np.int32)
+def _word_code(w: str) -> int:
+    """Hash of a word with two flags above it: whether it is long, and whether it is a Han character."""
+    return zlib.crc32(w.encode()) | (1 << 40 if len(w) > 3 else 0) | (1 << 41 if w >= "\u3040" else 0)
 
 
 def passages(ws: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -80,17 +72,22 @@ def passages(ws: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def _sparse(batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count of all passages of a batch."""
-    rows, terms, counts = [], [], []
-    for i, p in enumerate(batch):
-        t, c = np.unique(term_ids(p), return_counts=True)
-        rows.append(np.full(len(t), i, np.int32))
-        terms.append(t)
-        counts.append(c)
-    if not rows:
-        e = np.empty(0, np.int32)
-        return e, e, e.astype(np.float32)
-    return np.concatenate(rows), np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+    """Row, hashed term and count of all passages of a batch, by row. Terms: word bigrams, long words, Han trigrams."""
+    lens = [len(p) for p in batch]
+    w = np.fromiter((_word_code(x) for p in batch for x in p), np.uint64, sum(lens))
+    row = np.repeat(np.arange(len(batch), dtype=np.int64), lens)
+    h, flags = w & np.uint64(0xFFFFFFFF), w >> np.uint64(40)
+    mul = np.uint64(0x9E3779B97F4A7C15)
+    two = (h[:-1] * mul) ^ h[1:] if len(h) > 1 else h[:0]
+    three = (two[:-1] * mul) ^ h[2:] if len(h) > 2 else h[:0]
+    long = (flags & np.uint64(1)) == 1
+    ok2 = row[:-1] == row[1:] if len(h) > 1 else row[:0].astype(bool)
+    ok3 = (row[:-2] == row[2:]) & (flags[:-2] >= 2) if len(h) > 2 else row[:0].astype(bool)
+    mixed = np.concatenate((h[long], two[ok2], three[ok3])) * mul
+    terms = ((mixed >> np.uint64(33)) % np.uint64(TERMS)).astype(np.int64)
+    rows = np.concatenate((row[long], row[:-1][ok2] if len(h) > 1 else row[:0], row[:-2][ok3] if len(h) > 2 else row[:0]))
+    code, counts = np.unique(rows * TERMS + terms, return_counts=True)
+    return (code // TERMS).astype(np.int32), (code % TERMS).astype(np.int32), counts.astype(np.float32)
 
 
 def _unit_rows(rows: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -212,13 +209,16 @@ def holds_item(item: list[str], doc: list[str]) -> bool:
     some of them and most of the item's numbers.
     """
     n = len(item)
-    if common_run(item, doc) / n <= SHARE:
+    share = common_run(item, doc) / n
+    if share <= SHARE:
         return False
     here = set(zip(doc, doc[1:]))
     dense = sum(p in here for p in zip(item, item[1:])) / max(1, n - 1)
     numbers = _answers(item)
     agree = len(numbers & _answers(doc)) / len(numbers) if numbers else 0.0
-    return n == 1 or dense >= 0.35 or (dense >= 0.25 and agree >= 0.6)
+    if share < CLEAR:  # items made alike share this much wording; their numbers tell them apart
+        return n == 1 or (agree >= 0.5 if numbers else dense >= 0.5)
+    return dense >= 0.35 or (dense >= 0.25 and agree >= 0.6)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

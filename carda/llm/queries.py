@@ -84,6 +84,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.mixing import mix
+
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.mixing import actual_shares, mix
+
+    targets = table(spark, d, "mix_targets")
+    return actual_shares(mix(table(spark, d, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.lookalike import same_to_the_eye
 
@@ -103,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_repaired": p7_repaired,
         "p8_found": p8_found,
+        "p9_mix": p9_mix,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
     }
 
