@@ -27,7 +27,8 @@ INVISIBLE = "­͏؜᠎​‌‎‏‪‫‬‭‮⁠⁡⁢⁣⁤︎️﻿"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
 #: A joiner is drawn only between pictographs.
-_LOOSE_JOINER = r"(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])‍|‍(?![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}])"
+_PICTURES = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}"
+_LOOSE_JOINER = rf"(^|[^{_PICTURES}\x{{FE0F}}])\x{{200D}}+|\x{{200D}}+(?![{_PICTURES}])"
 #: Code points that are their own form wherever they stand.
 _STABLE = "\\n\\x20-\\x7e\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u00ff\\u2013-\\u2016\\u2018-\\u201f\\u20ac\\u3001\\u3002\\u3008-\\u3011\\u4e00-\\u9fff\\x{1F300}-\\x{1FAFF}\\u200d"
 
@@ -65,7 +66,7 @@ def canonical_form(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     mapping, marks, pairs = _tables()
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    narrow = F.translate(F.regexp_replace(F.regexp_replace("t", _LOOSE_JOINER, ""), r"\r\n?", "\n"), _WIDE + "\u3000\u00a0", _NARROW + "  ")
+    narrow = F.translate(F.regexp_replace(F.regexp_replace("t", _LOOSE_JOINER, "$1"), r"\r\n?", "\n"), _WIDE + "\u3000\u00a0", _NARROW + "  ")
     src = src.select("k", "t", narrow.alias("n"))
     unstable = F.col("n").rlike(f"[^{_STABLE}]")
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r" +(?=\n|$)", "")
