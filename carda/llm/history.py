@@ -120,7 +120,7 @@ def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
 # What stands in front of a republished advert.
 _REPOST = re.compile(r"^(?:(?:urgente|republicado|急招|再次发布|重新发布|hoy|nuevo|新店)\b ?)+ ?")
 _FOLD = str.maketrans(
-    {c: fold_py(chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F), *(ord(x) for x in TRADITIONAL), 0x3000, 0xA0] if fold_py(chr(c)) != chr(c)}
+    {c: fold_py(chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *(ord(x) for x in TRADITIONAL)] if fold_py(chr(c)) != chr(c)}
 )
 _FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD))) + "]")
 _GAPS = re.compile(r"[\W_]+")
