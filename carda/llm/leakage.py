@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,76 +32,103 @@ COSINE, SHARE = 0.30, 0.5
 #: Share from which wording alone decides.
 CLEAR = 0.62
 MAX_ITEMS = 20_000
+_BLOCK = 256
 
 _HAN_FOLD = str.maketrans(TRADITIONAL, SIMPLIFIED)
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,8};|&#x?[0-9a-f]{1,6};", re.I)
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[a-z]+|\d+")
 # Cyrillic and Greek letters drawn like Latin ones.
 _LOOK = str.maketrans("аеорсухіјѕοαειυνρτκ", "aeopcyxijsoaeiuvptk")
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text in comparison form: markup, case, accents, punctuation and character forms put aside."""
-    if not text:
-        return []
-    t = text
-    if "<" in t or "&" in t:
-        t = _TAG.sub(" ", t)
-    if not t.isascii():
-        t = unicodedata.normalize("NFKD", t)
-        t = _MARKS.sub("", t)
-        t = t.lower().translate(_LOOK).translate(_HAN_FOLD)
-    else:
-        t = t.lower()
-    return _WORD.findall(t)
-
+_FOLDABLE = re.compile("[" + re.escape("".join(map(chr, {**_HAN_FOLD, **_LOOK}))) + "]")
+_POWERS = np.array([pow(0x100000001B3, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+#: Flags above a word's 32-bit hash: longer than three letters, a Han character, a number.
+LONG, HAN, NUMBER = 1 << 40, 1 << 41, 1 << 42
 
-@lru_cache(maxsize=500_000)
-def _word_code(w: str) -> int:
-    """Hash of a word with two flags above it: whether it is long, and whether it is a Han character."""
-    return zlib.crc32(w.encode()) | (1 << 40 if len(w) > 3 else 0) | (1 << 41 if w >= "\u3040" else 0)
 
-
-def passages(ws: list[str]) -> Iterator[tuple[int, list[str]]]:
+def _fold(t: str | None) -> str:
+    """Comparison form: markup, case, accents, invisible characters and character forms put aside."""
+    if not t:
+        return ""
+    if "<" in t or "&" in t:
+        t = _TAG.sub(" ", t)
+    if t.isascii():
+        return t.lower()
+    t = _MARKS.sub("", unicodedata.normalize("NFKD", t)).lower()
+    return t.translate(_LOOK).translate(_HAN_FOLD) if _FOLDABLE.search(t) else t
+
+
+def word_codes(texts: list[str | None]) -> list[np.ndarray]:
+    """The words of each text as codes, in order: Han characters, runs of Latin letters and runs of digits."""
+    joined = "\n".join(_fold(t).replace("\n", " ") for t in texts) + "\n"
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    kind = np.zeros(len(cp), np.uint8)
+    kind[((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0x3040) & (cp <= 0x30FF))] = 1
+    kind[(cp >= 97) & (cp <= 122)] = 2
+    kind[(cp >= 48) & (cp <= 57)] = 3
+    first = kind > 0
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+    at = np.flatnonzero(first)
+    if not len(at):
+        return [np.empty(0, np.int64) for _ in texts]
+    inside = np.flatnonzero(kind)
+    word = (np.cumsum(first) - 1)[inside]
+    h = np.add.reduceat((cp[inside] + np.uint64(1)) * _POWERS[(inside - at[word]) & 63], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+    h ^= h >> np.uint64(31)
+    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    code = h.astype(np.int64)
+    code[np.bincount(word) > 3] |= LONG
+    code[kind[at] == 1] |= HAN
+    code[kind[at] == 3] |= NUMBER
+    owner = np.cumsum(cp == 10)[at]
+    return np.split(code, np.searchsorted(owner, np.arange(1, len(texts))))
+
+
+def passages(ws: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     for at in range(0, max(1, len(ws) - PASSAGE + STRIDE), STRIDE):
-        if part := ws[at : at + PASSAGE]:
+        if len(part := ws[at : at + PASSAGE]):
             yield at, part
 
 
-def _sparse(batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sparse(batch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hashed term and count of all passages of a batch, by row. Terms: word bigrams, long words, Han trigrams."""
-    lens = [len(p) for p in batch]
-    w = np.fromiter((_word_code(x) for p in batch for x in p), np.uint64, sum(lens))
-    row = np.repeat(np.arange(len(batch), dtype=np.int64), lens)
+    if not batch:
+        e = np.empty(0, np.int32)
+        return e, e, e.astype(np.float32)
+    w = np.concatenate(batch).astype(np.uint64)
+    row = np.repeat(np.arange(len(batch), dtype=np.int64), [len(p) for p in batch])
     h, flags = w & np.uint64(0xFFFFFFFF), w >> np.uint64(40)
     mul = np.uint64(0x9E3779B97F4A7C15)
-    two = (h[:-1] * mul) ^ h[1:] if len(h) > 1 else h[:0]
-    three = (two[:-1] * mul) ^ h[2:] if len(h) > 2 else h[:0]
+    two = (h[:-1] * mul) ^ h[1:]
+    three = (two[:-1] * mul) ^ h[2:]
     long = (flags & np.uint64(1)) == 1
-    ok2 = row[:-1] == row[1:] if len(h) > 1 else row[:0].astype(bool)
-    ok3 = (row[:-2] == row[2:]) & (flags[:-2] >= 2) if len(h) > 2 else row[:0].astype(bool)
+    ok2 = row[:-1] == row[1:]
+    ok3 = (row[:-2] == row[2:]) & ((flags[:-2] & np.uint64(2)) > 0)
     mixed = np.concatenate((h[long], two[ok2], three[ok3])) * mul
     terms = ((mixed >> np.uint64(33)) % np.uint64(TERMS)).astype(np.int64)
-    rows = np.concatenate((row[long], row[:-1][ok2] if len(h) > 1 else row[:0], row[:-2][ok3] if len(h) > 2 else row[:0]))
+    rows = np.concatenate((row[long], row[:-1][ok2], row[:-2][ok3]))
     code, counts = np.unique(rows * TERMS + terms, return_counts=True)
     return (code // TERMS).astype(np.int32), (code % TERMS).astype(np.int32), counts.astype(np.float32)
 
 
+def _dense(batch: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF rows of a small batch."""
+    rows, terms, c = _sparse(batch)
+    x = np.zeros((len(batch), TERMS), np.float32)
+    if len(rows):
+        x[rows, terms] = _unit_rows(rows, (1 + np.log(c)) * idf[terms], len(batch))
+    return x
+
+
 def _unit_rows(rows: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     z = np.sqrt(np.bincount(rows, v * v, minlength=n))
     return v / np.maximum(z[rows], 1e-9).astype(np.float32)
 
 
-def _project(batch: list[list[str]], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _project(batch: list[np.ndarray], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit rows in the latent space."""
-    rows, terms, c = _sparse(batch)
-    out = np.zeros((len(batch), basis.shape[1]), np.float32)
-    if len(rows):
-        v = _unit_rows(rows, (1 + np.log(c)) * idf[terms], len(batch))
-        x = v[:, None] * basis[terms]
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        out[rows[starts]] = np.add.reduceat(x, starts, axis=0)
+    out = np.concatenate([_dense(batch[i : i + _BLOCK], idf) @ basis for i in range(0, len(batch), _BLOCK)]) if batch else np.zeros((0, basis.shape[1]), np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -113,7 +138,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(TERMS, np.int64), 0
         for pdf in batches:
-            ps = [p for t in pdf["text"] for _, p in passages(words(t))]
+            ps = [p for ws in word_codes(pdf["text"].tolist()) for _, p in passages(ws)]
             _, terms, _ = _sparse(ps)
             df += np.bincount(terms, minlength=TERMS)
             n += len(ps)
@@ -129,7 +154,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def latent_basis(docs: DataFrame, items: list[list[str]], idf: np.ndarray, seed: int = 5) -> np.ndarray:
+def latent_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, seed: int = 5) -> np.ndarray:
     """Right singular space of the TF-IDF passages by a randomised range finder: Y = A'(A W), one pass, then QR.
 
     The sketch starts from the items' own vectors beside random ones, so that directions the items use are kept
@@ -144,20 +169,10 @@ def latent_basis(docs: DataFrame, items: list[list[str]], idf: np.ndarray, seed:
         idf_, w = shared.value
         y = np.zeros_like(w)
         for pdf in batches:
-            ps = [p for t in pdf["text"] for _, p in passages(words(t))]
-            for at in range(0, len(ps), 2048):
-                part = ps[at : at + 2048]
-                rows, terms, c = _sparse(part)
-                if not len(rows):
-                    continue
-                v = _unit_rows(rows, (1 + np.log(c)) * idf_[terms], len(part))
-                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                aw = np.zeros((len(part), w.shape[1]), np.float32)
-                aw[rows[starts]] = np.add.reduceat(v[:, None] * w[terms], starts, axis=0)
-                order = np.argsort(terms, kind="stable")
-                ts = terms[order]
-                s2 = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]])
-                y[ts[s2]] += np.add.reduceat(v[order][:, None] * aw[rows[order]], s2, axis=0)
+            ps = [p for ws in word_codes(pdf["text"].tolist()) for _, p in passages(ws)]
+            for at in range(0, len(ps), _BLOCK):
+                x = _dense(ps[at : at + _BLOCK], idf_)
+                y += x.T @ (x @ w)
         yield pd.DataFrame({"block": np.arange(64, dtype=np.int32), "y": [b.ravel().astype(np.float64).tobytes() for b in np.split(y, 64)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -183,9 +198,9 @@ def latent_basis(docs: DataFrame, items: list[list[str]], idf: np.ndarray, seed:
     return basis.astype(np.float32)
 
 
-def common_run(item: list[str], doc: list[str]) -> int:
+def common_run(item: list, doc: list) -> int:
     """Length of the longest common subsequence of words, by bit-parallel dynamic programming."""
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, w in enumerate(item):
         at[w] = at.get(w, 0) | (1 << i)
     full = (1 << len(item)) - 1
@@ -197,12 +212,12 @@ def common_run(item: list[str], doc: list[str]) -> int:
     return len(item) - v.bit_count()
 
 
-def _answers(ws: list[str]) -> set[str]:
+def _answers(ws: list[int]) -> set[int]:
     """Numbers: what an item asks for or answers with."""
-    return {w for w in ws if w.isdigit()}
+    return {w for w in ws if w & NUMBER}
 
 
-def holds_item(item: list[str], doc: list[str]) -> bool:
+def holds_item(item: list[int], doc: list[int]) -> bool:
     """Whether the document holds more than half of the item's wording in its order.
 
     Subsequences of common words that arise by chance are spread thin, so neighbouring words must agree as well, or
@@ -223,10 +238,10 @@ def holds_item(item: list[str], doc: list[str]) -> bool:
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id): documents that hold more than half of an item's wording in its order."""
-    listed = [(r["item_id"], words(r["text"])) for r in items.select("item_id", "text").limit(MAX_ITEMS + 1).collect()]
-    if len(listed) > MAX_ITEMS:
+    given = items.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
+    if len(given) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items; split the list")
-    listed = [(i, w) for i, w in listed if w]
+    listed = [(r["item_id"], w) for r, w in zip(given, word_codes([r["text"] for r in given])) if len(w)]
     src = docs.select(F.col(key).alias("doc_id"), F.col("text"))
     schema = "doc_id long, item_id long"
     if not listed:
@@ -238,14 +253,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
     pieces = [(k, p) for k, w in enumerate(item_words) for _, p in passages(w)]
     basis = latent_basis(src, [p for _, p in pieces], idf)
     item_vecs = _project([p for _, p in pieces], idf, basis)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, basis, item_vecs, [k for k, _ in pieces], listed))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, basis, item_vecs, [k for k, _ in pieces], [(i, w.tolist()) for i, w in listed]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf_, basis_, vecs, owner, its = shared.value
         for pdf in batches:
             found: set[tuple[int, int]] = set()
             tried: set[tuple[int, int]] = set()
-            texts = [words(t) for t in pdf["text"]]
+            texts = word_codes(pdf["text"].tolist())
             where = [(d, at, p) for d, ws in enumerate(texts) for at, p in passages(ws)]
             ids = pdf["doc_id"].tolist()
             for lo in range(0, len(where), 2048):
@@ -256,7 +271,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> Data
                     item_id, item = its[owner[j]]
                     if (d, item_id) not in tried:
                         tried.add((d, item_id))
-                        if holds_item(item, texts[d]):
+                        if holds_item(item, texts[d].tolist()):
                             found.add((ids[d], item_id))
             yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"])
 
