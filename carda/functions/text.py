@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,10 +66,10 @@ def normalize_py(s: str | None) -> str:
     for half, full in _VOICED.items():
         if half in s:
             s = s.replace(half, full)
-    s = s.translate(_NARROW_MAP).lower()
-    return "".join(ch for ch in s if unicodedata.category(ch)[0] in "LN")
+    return _NOT_WORD.sub("", s.translate(_NARROW_MAP).lower())
 
 
+_NOT_WORD = re.compile(r"[\W_]+")
 _NARROW_MAP = str.maketrans(_WIDE + _KANA_FROM, _NARROW + _KANA_TO)
 
 
@@ -89,9 +88,28 @@ def hash64(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 16), 16, -10).cast("long")
 
 
-@lru_cache(maxsize=400_000)
-def _gram_bits(gram: str) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[:8], np.uint8)).astype(np.int32) * 2 - 1
+class _GramBits:
+    """Signed bits of the grams seen so far, a row each; started anew when it has grown to ``limit`` rows."""
+
+    def __init__(self, limit: int = 400_000) -> None:
+        self.limit, self.at, self.rows = limit, {}, np.empty((4096, 64), np.int8)
+
+    def votes(self, grams: list[str]) -> np.ndarray:
+        if len(self.at) > self.limit:
+            self.at.clear()
+        at, idx = self.at, []
+        for g in grams:
+            k = at.get(g)
+            if k is None:
+                k = at[g] = len(at)
+                if k == len(self.rows):
+                    self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+                self.rows[k] = np.unpackbits(np.frombuffer(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:8], np.uint8)).astype(np.int8) * 2 - 1
+            idx.append(k)
+        return self.rows[idx].sum(axis=0, dtype=np.int64)
+
+
+_GRAMS = _GramBits()
 
 
 def simhash_py(text: str | None) -> int:
@@ -99,16 +117,17 @@ def simhash_py(text: str | None) -> int:
     s = normalize_py(text)
     if not s:
         return 0
-    votes = np.zeros(64, np.int64)
-    for g in [s] if len(s) == 1 else map("".join, zip(s, s[1:])):
-        votes += _gram_bits(g)
+    votes = _GRAMS.votes([s] if len(s) == 1 else [s[i : i + 2] for i in range(len(s) - 1)])
     return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
 
 
 def simhash64(c: Column) -> Column:
     """Arrow-batched SimHash; md5 of repeated bigrams is computed once per worker."""
-    udf = F.pandas_udf(lambda s: pd.Series([simhash_py(t) for t in s], dtype="int64"), "bigint")
-    return udf(c)
+    return F.pandas_udf(_simhash_series, "bigint")(c)
+
+
+def _simhash_series(texts: pd.Series) -> pd.Series:
+    return pd.Series([simhash_py(t) for t in texts], dtype="int64")
 
 
 def simhash_job(title: Column, company: Column, description: Column) -> Column:

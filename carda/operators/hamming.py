@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carda.functions.text import hamming64
+from carda.session import sized_broadcast
 
 BLOCKS, WIDTH = 4, 16
 
@@ -24,12 +25,12 @@ def _block(c, i: int):
     return F.shiftrightunsigned(c, WIDTH * i).bitwiseAND(0xFFFF).cast("int")
 
 
-def neighbor_pairs(probe: DataFrame, base: DataFrame, radius: int = 8) -> DataFrame:
-    """(id, base_id, dist) of all pairs within ``radius`` (at most 11). Columns id and simhash on both sides.
+#: Distinct base fingerprints up to which their blocks are broadcast; beyond it both sides are shuffled by block.
+BROADCAST_FINGERPRINTS = 200_000
 
-    Within distance r one of four 16-bit blocks differs in at most r // 4 bits, so probing each block's neighbourhood
-    finds every pair. Equal fingerprints are collapsed first: a fingerprint many rows share probes once.
-    """
+
+def _close(probe: DataFrame, base: DataFrame, radius: int) -> DataFrame:
+    """(simhash, other) of all distinct fingerprints within ``radius``."""
     if not 0 <= radius <= 11:
         raise ValueError("radius must be between 0 and 11")
     p = probe.where("simhash is not null").select("simhash").distinct()
@@ -37,8 +38,17 @@ def neighbor_pairs(probe: DataFrame, base: DataFrame, radius: int = 8) -> DataFr
     masks = F.array(*[F.lit(m) for m in _masks(radius // BLOCKS)])
     blocks = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), _block(c, i).alias("v")) for i in range(BLOCKS)])
     pk = p.select("simhash", F.explode(blocks(F.col("simhash"))).alias("k")).select("simhash", F.col("k.i").alias("i"), F.explode(F.transform(masks, lambda m: F.col("k.v").bitwiseXOR(m))).alias("v"))
-    bk = b.select("other", F.explode(blocks(F.col("other"))).alias("k")).select("other", "k.i", "k.v")
-    close = pk.join(bk, ["i", "v"]).where(hamming64(F.col("simhash"), F.col("other")) <= radius).select("simhash", "other").distinct()
+    bk = sized_broadcast(b.select("other", F.explode(blocks(F.col("other"))).alias("k")).select("other", "k.i", "k.v"), b.count(), BROADCAST_FINGERPRINTS)
+    return pk.join(bk, ["i", "v"]).where(hamming64(F.col("simhash"), F.col("other")) <= radius).select("simhash", "other").distinct()
+
+
+def neighbor_pairs(probe: DataFrame, base: DataFrame, radius: int = 8) -> DataFrame:
+    """(id, base_id, dist) of all pairs within ``radius`` (at most 11). Columns id and simhash on both sides.
+
+    Within distance r one of four 16-bit blocks differs in at most r // 4 bits, so probing each block's neighbourhood
+    finds every pair. Equal fingerprints are collapsed first: a fingerprint many rows share probes once.
+    """
+    close = _close(probe, base, radius)
     ids = probe.select("id", "simhash").join(close, "simhash")
     out = ids.join(base.select(F.col("id").alias("base_id"), F.col("simhash").alias("other")), "other")
     return out.select("id", "base_id", hamming64(F.col("simhash"), F.col("other")).cast("int").alias("dist"))
@@ -51,13 +61,7 @@ def nearest(probe: DataFrame, base: DataFrame, radius: int = 8, exclude: str | N
     taken over distinct fingerprints first, so copies of one fingerprint are never paired one by one.
     """
     rows = base.where("simhash is not null")
-    p = probe.where("simhash is not null").select("simhash").distinct()
-    b = rows.select(F.col("simhash").alias("other")).distinct()
-    masks = F.array(*[F.lit(m) for m in _masks(radius // BLOCKS)])
-    blocks = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), _block(c, i).alias("v")) for i in range(BLOCKS)])
-    pk = p.select("simhash", F.explode(blocks(F.col("simhash"))).alias("k")).select("simhash", F.col("k.i").alias("i"), F.explode(F.transform(masks, lambda m: F.col("k.v").bitwiseXOR(m))).alias("v"))
-    bk = b.select("other", F.explode(blocks(F.col("other"))).alias("k")).select("other", "k.i", "k.v")
-    close = pk.join(bk, ["i", "v"]).where(hamming64(F.col("simhash"), F.col("other")) <= radius).select("simhash", "other").distinct()
+    close = _close(probe, base, radius)
     # per fingerprint its two lowest ids: enough to leave the probe itself out
     low = rows.groupBy(F.col("simhash").alias("other")).agg(F.min("id").alias("id1"))
     second = rows.select("id", F.col("simhash").alias("other")).join(low, "other").where("id <> id1").groupBy("other").agg(F.min("id").alias("id2"))

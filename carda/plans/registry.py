@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carda.functions import codes, contact, text, times
 from carda.operators import dedup, feed, gates, hamming, kpi, ledger, parse
-from carda.session import table
+from carda.session import spread, table
 
 #: The moment the queries take for now; nothing reads a clock.
 AS_OF = "2026-04-20 12:00:00"
@@ -88,7 +88,7 @@ def simhash64(spark, d):
 
 @query("simhash_job")
 def simhash_job(spark, d):
-    return table(spark, d, "jobs_clean").select("id", text.simhash_job(F.col("title"), F.col("company"), F.col("description")).alias("simhash"))
+    return spread(table(spark, d, "jobs_clean").select("id", "title", "company", "description")).select("id", text.simhash_job(F.col("title"), F.col("company"), F.col("description")).alias("simhash"))
 
 
 @query("simhash_forms", "SELECT id, printf('%016X', simhash) AS simhash_hex, (CASE WHEN simhash < 0 THEN simhash::HUGEINT + 18446744073709551616 ELSE simhash END)::VARCHAR AS simhash_u64, bit_count(simhash)::INT AS bits FROM jobs_clean WHERE simhash IS NOT NULL")
@@ -213,7 +213,7 @@ SITES = [
 
 @query("page_fields")
 def page_fields(spark, d):
-    return parse.page_fields(table(spark, d, "raw_pages"), SITES)
+    return parse.page_fields(spread(table(spark, d, "raw_pages").select("id", "source_site", "raw_html")), SITES)
 
 
 @query("page_list_items")

@@ -72,6 +72,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small table comes in fewer splits; a table of enough splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on in Python."""
+    return spread(table(spark, sf_dir, name))
+
+
 def fixed_rows(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """A small DataFrame of constants."""
     return spark.createDataFrame(list(rows), schema)
