@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carda.session import table
+from carda.session import table, wide_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.pii import find_items, listing_texts
 
-    return find_items(listing_texts(table(spark, d, "jobs_clean"), table(spark, d, "posts"))).select("src_table", "row_id", "pii_type", "start_pos")
+    return find_items(listing_texts(wide_table(spark, d, "jobs_clean"), wide_table(spark, d, "posts"))).select("src_table", "row_id", "pii_type", "start_pos")
 
 
 def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.pii import listing_texts, mask_text
 
-    return mask_text(listing_texts(table(spark, d, "jobs_clean"), table(spark, d, "posts"))).select("src_table", "row_id", "masked")
+    return mask_text(listing_texts(wide_table(spark, d, "jobs_clean"), wide_table(spark, d, "posts"))).select("src_table", "row_id", "masked")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +55,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.blocks import main_blocks
     from carda.llm.mojibake import find_garbled, listing_texts
 
-    pages = table(spark, d, "raw_pages").where("http_status = 200").select("id", "source_site", "raw_html")
-    garbled = find_garbled(listing_texts(table(spark, d, "raw_pages"), None)).select(F.col("row_id").alias("id"))
+    pages = wide_table(spark, d, "raw_pages").where("http_status = 200").select("id", "source_site", "raw_html")
+    garbled = find_garbled(listing_texts(wide_table(spark, d, "raw_pages"), None)).select(F.col("row_id").alias("id"))
     return main_blocks(pages.join(garbled, "id", "left_anti")).select("page_id", "block_md5").distinct()
 
 
@@ -69,32 +69,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mojibake import find_garbled, listing_texts
 
-    return find_garbled(listing_texts(table(spark, d, "raw_pages"), table(spark, d, "jobs_clean"))).select("src_table", "row_id")
+    return find_garbled(listing_texts(wide_table(spark, d, "raw_pages"), wide_table(spark, d, "jobs_clean"))).select("src_table", "row_id")
 
 
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mojibake import find_garbled, listing_texts
 
-    return find_garbled(listing_texts(table(spark, d, "raw_pages"), table(spark, d, "jobs_clean"))).select("src_table", "row_id", "chain", "restored")
+    return find_garbled(listing_texts(wide_table(spark, d, "raw_pages"), wide_table(spark, d, "jobs_clean"))).select("src_table", "row_id", "chain", "restored")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.leakage import leaked_items
 
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_items(wide_table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mixing import mix
 
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mix(wide_table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.mixing import actual_shares, mix
 
     targets = table(spark, d, "mix_targets")
-    return actual_shares(mix(table(spark, d, "documents"), targets), targets)
+    return actual_shares(mix(wide_table(spark, d, "documents"), targets), targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
