@@ -5,7 +5,8 @@ the whole corpus say how likely a text and each of its possible restorations are
 (source, field, chain) rates pools the weak evidence of many records, and each record is judged and repaired by its
 posterior.
 
-Defined cases: null and empty texts are clean; a text whose characters are all common in the corpus is clean; a single
+Defined cases: null and empty texts are clean; a text whose characters are all common in the clean part of the corpus
+is clean unless its bytes make a readable text in a chain's true encoding (:func:`could_be`); a single
 replacement character where a field was cut is no wrong decoding; text lost beyond repair is reported with
 ``restored`` null; ties between chains go to the first of :data:`CHAINS`; empty tables give empty results; extra
 columns are ignored.
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -55,7 +58,7 @@ _TELLTALE = re.compile("[\u0080-\u009f�-¡-ÿĀ-ɏͰ-ӿ─-▟]")
 _SPANISH = set("áéíóúñüÁÉÍÓÚÑÜ¿¡ªº·«»°©®€")
 #: Log probability of a character foreign to the corpus where it stands, and of one a restoration would bring in.
 _FOREIGN, _INVENTED = -12.0, -25.0
-#: Characters looked at on either side of a suspicious one.
+#: How far a sum of gains may fall before a stretch is closed.
 _MARGIN = 16
 _MAX_CP = 0x20000
 _BYTES_1252 = {0x81: "\x81", 0x8D: "\x8d", 0x8F: "\x8f", 0x90: "\x90", 0x9D: "\x9d"}
@@ -73,11 +76,19 @@ def _char_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"cp": nz.astype("int32"), "n": total[nz]})
 
 
-def character_model(texts: DataFrame) -> dict[str, float]:
-    """Log probability of every character of the corpus. The result is bounded by the size of Unicode."""
+def character_counts(texts: DataFrame) -> dict[str, int]:
+    """How often every character occurs. The result is bounded by the size of Unicode."""
     counts = texts.select("text").where("text is not null").mapInPandas(_char_counts, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counts) or 1
-    return {chr(r["cp"]): math.log(r["n"] / total) for r in counts}
+    return {chr(r["cp"]): r["n"] for r in counts}
+
+
+def character_model(counts: dict[str, int], without: dict[str, int] | None = None) -> dict[str, float]:
+    """Log probability of every character, ``without`` the counts of texts that may be garbled, unless hardly any text is left."""
+    clean = {c: n - (without or {}).get(c, 0) for c, n in counts.items()}
+    if sum(clean.values()) < 0.05 * sum(counts.values()):
+        clean = counts
+    total = sum(clean.values()) or 1
+    return {c: math.log(n / total) for c, n in clean.items() if n > 0}
 
 
 def common_characters(model: dict[str, float]) -> str:
@@ -99,106 +110,209 @@ def _encode(ch: str, codec: str) -> bytes | None:
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})")
 
 
-_GONE = re.compile("[\x80-\xff]+")
+#: One character of each true encoding, as bytes.
+_ONE = {
+    "utf-8": _UTF8.pattern,
+    "gb18030": rb"(?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x81-\xfe][0-9][\x81-\xfe][0-9])",
+    "big5": rb"(?:[\x81-\xf9][\x40-\x7e\xa1-\xfe])",
+}
+#: Stretches of nothing but such characters; of UTF-8 also what is left of one whose last byte is gone.
+_STRETCH = {e: re.compile(b"(?:" + one + b")+" + (rb"(?:[\xc2-\xf4][\x80-\xbf]{0,2}\xff)?" if e == "utf-8" else b"")) for e, one in _ONE.items()}
+_WIDE = ("gb18030", "big5", "shift_jis")
+_THREE = rb"(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])"
+#: Bytes of a wide codec that can be UTF-8: some characters in a row, or one with no other high byte around it.
+_WIDE_HINT = re.compile(_THREE + b"{2}|(?:[\xc2-\xdf][\x80-\xbf]){6}|(?<![\x80-\xff?])" + _ONE["utf-8"] + b"+(?![\x80-\xff?])")
+_NARROW = re.compile("[\x00-\u2e7f]+")
+#: All that single bytes read as other than ASCII, and where two such characters stand together, one letter between at most.
+_LOW = "\x80-\u2e7f\uf8ff\ufb01\ufb02"
+_LOW_PAIR = re.compile(f"[{_LOW}][@-~]?[{_LOW}]")
+_PLAIN = re.compile("([\x00-\x7f])[\x00-\x7f]+([\x00-\x7f])")
+#: Other characters than ASCII with the ASCII that may be part of two-byte ones.
+_WHOLE = re.compile("(?s).+")
+_SEGMENT = re.compile("(?:[^\x00-\x7f][\x00-\x7f]{0,2})+")
+
+
+def _byte_char(byte: int, codec: str) -> str:
+    if codec == "cp1252" and byte in _BYTES_1252:
+        return _BYTES_1252[byte]
+    return bytes([byte]).decode(codec, "ignore")
+
+
+def _class(codec: str, lo: int, hi: int) -> str:
+    return re.escape("".join(_byte_char(x, codec) for x in range(lo, hi)))
+
+
+def _single_hint(wrong: str, right: str) -> re.Pattern:
+    if right == "utf-8":
+        return re.compile(f"[{_class(wrong, 0xC2, 0xF5)}][{_class(wrong, 0x80, 0xC0)}]")
+    high = _class(wrong, 0x81, 0xFF)
+    return re.compile(f"[{high}][@-~{high}]")
+
+
+#: A text without such a place cannot be the output of a chain that reads bytes one by one.
+_HINTS = {(w, e): _single_hint(w, e) for w, e in CHAINS if w not in _WIDE}
+#: Two characters in a row, which clean accented text hardly has.
+_TWICE = {c: re.compile(f"(?:{h.pattern}){{2}}") for c, h in _HINTS.items() if c[1] != "utf-8"}
+
+
+def could_be(text: str) -> bool:
+    """Whether the bytes of some chain make a readable text: a cheap test, which clean texts may pass, too.
+
+    Two wide codecs read each other's bytes nearly always; of them the leading bytes must be those of frequent
+    characters in the true encoding and not in the wrong one. Text that was lost counts, too.
+    """
+    if text.isascii():
+        return False
+    if lossy_evidence(text) > 0:
+        return True
+    text = _PLAIN.sub(r"\1 \2", text)
+    if _LOW_PAIR.search(text) and any((_TWICE.get(c) or h).search(text) for c, h in _HINTS.items()):
+        return True
+    if any(_wide_hint(text, w) for w in _WIDE):
+        return True
+    signs = _NARROW.sub("", text)
+    return any(_trades(signs, w, e) for w, e in CHAINS if w in _WIDE and e != "utf-8")
+
+
+def _wide_hint(text: str, wrong: str) -> bool:
+    # a question mark stands for what the codec does not have
+    return _WIDE_HINT.search(text.replace("\ufffd", " ").replace("?", " ").encode(wrong, "replace")) is not None
+
+
+#: Leading bytes of the frequent characters.
+_FREQUENT = {"gb18030": (0xB0, 0xD7), "big5": (0xA4, 0xC6)}
+
+
+def _trades(signs: str, wrong: str, right: str) -> bool:
+    lead = np.frombuffer(signs.encode("gbk" if wrong == "gb18030" else wrong, "ignore"), np.uint8)[::2]
+    if len(lead) < 2:
+        return False
+    share = {e: np.count_nonzero((lead >= lo) & (lead <= hi) | (lead >= 0xA1) & (lead <= 0xA3)) / len(lead) for e, (lo, hi) in _FREQUENT.items()}
+    return share[right] > 0.8 and share[wrong] < 0.7
 
 
 class _Repairer:
-    """Undoes one chain inside a text, only where the result is likelier than what stands there."""
+    """Undoes one chain in every maximal stretch it could have garbled, where the result is likelier than what stands."""
 
     def __init__(self, model: dict[str, float]) -> None:
         self.model = model
         self.common = set(common_characters(model))
         self.byte: dict[str, dict[str, bytes | None]] = {w: {} for w, _ in CHAINS}
+        self.steps: dict[str, dict[tuple[str, bytes], tuple[str, float]]] = {e: {} for _, e in CHAINS}
 
     def score(self, s: str, rare: float) -> float:
         m, c = self.model, self.common
         return sum(m[x] if x in c else rare for x in s)
 
-    def windows(self, text: str) -> list[tuple[int, int]]:
-        """Stretches around the characters that are not common; nothing else can have been garbled."""
-        out: list[list[int]] = []
-        for i, ch in enumerate(text):
-            if ch not in self.common:
-                if out and i - _MARGIN <= out[-1][1]:
-                    out[-1][1] = i + _MARGIN
-                else:
-                    out.append([max(0, i - _MARGIN), i + _MARGIN])
-        return [(a, min(b, len(text))) for a, b in out]
-
     def gains(self, text: str) -> list[float]:
-        pieces = [text[a:b] for a, b in self.windows(text)]
-        return [sum(self.undo_deep(p, w, e)[1] for p in pieces) for w, e in CHAINS]
+        return [self.undo_deep(text, w, e)[1] for w, e in CHAINS]
 
     def restore(self, text: str, wrong: str, right: str) -> str:
-        out, at = [], 0
-        for a, b in self.windows(text):
-            out += [text[at:a], self.undo_deep(text[a:b], wrong, right)[0]]
-            at = b
-        return "".join([*out, text[at:]])
-
-    def _runs(self, text: str, wrong: str) -> Iterator[tuple[int, int, bytes]]:
-        """Maximal stretches the wrong decoder could have produced, as bytes."""
+        return self.undo_deep(text, wrong, right)[0]
+
+    def _runs(self, text: str, wrong: str, right: str) -> Iterator[tuple[int, int, list[bytes]]]:
+        """Maximal stretches the wrong decoder could have produced, as the bytes of each character."""
         memo = self.byte[wrong]
-        start, parts = 0, []
-        for i, ch in enumerate(text):
-            if ch in memo:
-                b = memo[ch]
-            else:
-                b = memo[ch] = _encode(ch, wrong)
-            if b is None:
-                if parts:
-                    yield start, i, b"".join(parts)
-                start, parts = i + 1, []
-            else:
-                parts.append(b)
-        if parts:
-            yield start, len(text), b"".join(parts)
+        # two wide codecs are weighed over the whole text, the others where it is not plain
+        for m in (_WHOLE if wrong in _WIDE and right != "utf-8" else _SEGMENT).finditer(text):
+            start, parts = m.start(), []
+            for i, ch in enumerate(m[0], start):
+                if ch in memo:
+                    b = memo[ch]
+                else:
+                    b = memo[ch] = _encode(ch, wrong)
+                if b is None:
+                    if parts:
+                        yield start, i, parts
+                    start, parts = i + 1, []
+                else:
+                    parts.append(b)
+            if parts:
+                yield start, m.end(), parts
 
     def undo(self, text: str, wrong: str, right: str) -> tuple[str, float]:
         """The text with the chain undone and the gain in log likelihood."""
+        if text.isascii() or not self._hinted(text, wrong, right):
+            return text, 0.0
         out, at, gain = [], 0, 0.0
-        for i, j, raw in self._runs(text, wrong):
+        for i, j, parts in self._runs(text, wrong, right):
             piece = text[i:j]
             if piece.isascii():
                 continue
-            if right == "utf-8":
-                fixed = self._utf8(raw, wrong)
-            else:
-                fixed = self._multibyte(piece, raw, wrong, right)
-            if fixed is None or fixed == piece:
-                continue
-            g = self.score(fixed, _INVENTED) - self.score(piece, _FOREIGN)
+            fixed, g = self._wide(piece, parts, right) if wrong in _WIDE and right != "utf-8" else self._stretches(piece, parts, wrong, right)
             if g > 0:
                 out += [text[at:i], fixed]
                 at, gain = j, gain + g
         return "".join([*out, text[at:]]), gain
 
     @staticmethod
-    def _utf8(raw: bytes, wrong: str) -> str | None:
-        """Valid UTF-8 sequences become characters again, all other bytes stay as they were read."""
-        out, at, hit = [], 0, False
-        keep = (lambda b: "".join(_BYTES_1252.get(x) or bytes([x]).decode("cp1252") for x in b)) if wrong == "cp1252" else (lambda b: b.decode(wrong, "replace"))
-        back = lambda b: _GONE.sub("\ufffd", b.decode("latin-1")) if b"\xff" in b else keep(b)
-        for m in _UTF8.finditer(raw):
-            if m.start() > at:
-                out.append(back(raw[at : m.start()]))
-            out.append(m[0].decode("utf-8"))
-            at, hit = m.end(), True
-        if not hit:
-            return None
-        out.append(back(raw[at:]))
-        return "".join(out)
-
-    def _multibyte(self, piece: str, raw: bytes, wrong: str, right: str) -> str | None:
-        try:
-            return raw.decode(right)
-        except UnicodeError as e:
-            # a stretch may end inside a character: keep what decodes, leave the rest
-            good = raw[: e.start] if isinstance(e, UnicodeDecodeError) else b""
-            if len(good) < max(4, len(raw) // 2):
-                fixed = raw.decode(right, "replace")
-                return fixed if fixed.count("�") * 6 < len(fixed) else None
-            return good.decode(right, "ignore") + raw[e.start :].decode(right, "replace")
+    def _hinted(text: str, wrong: str, right: str) -> bool:
+        if wrong not in _WIDE:
+            return _HINTS[wrong, right].search(text) is not None
+        return right != "utf-8" or _wide_hint(text, wrong)
+
+    def _stretches(self, piece: str, parts: list[bytes], wrong: str, right: str) -> tuple[str, float]:
+        """Each stretch that is valid in the true encoding, judged as a whole; all other bytes stay as they were read."""
+        raw = b"".join(parts)
+        begin: list[int] = []
+        out, at, gain = [], 0, 0.0  # at: characters of the piece that are done
+        for m in _STRETCH[right].finditer(raw):
+            # a wide codec has chance hits amid clean text: a short one must have no other high byte around it
+            if wrong in _WIDE and m.end() - m.start() < 6 and (raw[m.start() - 1 : m.start()] > b"\x7f" or b"\x7f" < raw[m.end() : m.end() + 1] < b"\xff"):
+                continue
+            begin = begin or list(accumulate(map(len, parts), initial=0))
+            a, b = bisect_right(begin, m.start()) - 1, bisect_left(begin, m.end())
+            if a < at:
+                continue
+            old = piece[a:b]
+            # bytes of the outer characters that do not belong to the stretch
+            head, tail = raw[begin[a] : m.start()], raw[m.end() : begin[b]]
+            body = m[0]
+            if right == "utf-8" and body[-1:] == b"\xff":
+                body = re.sub(rb"[\xc2-\xf4][\x80-\xbf]{0,2}\xff$", b"\xef\xbf\xbd", body)
+            new = self._back(head) + body.decode(right, "replace") + self._back(tail)
+            g = self.score(new.replace("\ufffd", ""), _INVENTED) - self.score(old.replace("\ufffd", ""), _FOREIGN)
+            g += _INVENTED * max(0, new.count("\ufffd") - old.count("\ufffd"))
+            if g <= 0:  # garbled twice, the text is no likelier after one step
+                new, more = self.undo(new, wrong, right)
+                g += more
+            if g > 0:
+                out += [piece[at:a], new]
+                at, gain = b, gain + g
+        return "".join([*out, piece[at:]]), gain
+
+    @staticmethod
+    def _back(half: bytes) -> str:
+        return half.decode("ascii", "replace")
+
+    def _wide(self, piece: str, parts: list[bytes], right: str) -> tuple[str, float]:
+        """Two-byte codecs read each other's characters one for one, so the best stretches are found by their sums."""
+        memo = self.steps[right]
+        new, step = [], []
+        for ch, b in zip(piece, parts):
+            known = memo.get((ch, b))
+            if known is None:
+                x = ch if ch.isascii() else b.decode(right, "replace")
+                known = memo[ch, b] = (x, 0.0 if x == ch else self.score(x, _INVENTED) - self.score(ch, _FOREIGN))
+            new.append(known[0])
+            step.append(known[1])
+        out, at, gain, i = [], 0, 0.0, 0
+        while i < len(step):
+            if step[i] <= 0:
+                i += 1
+                continue
+            total = best = 0.0
+            end = j = i
+            while j < len(step) and total >= 0 and total > best - 2 * _MARGIN:
+                total += step[j]
+                j += 1
+                if total > best:
+                    best, end = total, j
+            if best > -_FOREIGN:  # less is chance
+                out += [piece[at:i], *new[i:end]]
+                at, gain = end, gain + best
+            i = max(end, i + 1)
+        return "".join([*out, piece[at:]]), gain
 
     def undo_deep(self, text: str, wrong: str, right: str) -> tuple[str, float]:
         """The chain may have been gone through more than once."""
@@ -241,18 +355,41 @@ def _likelihoods(rate_col: str):
 
 
 def find_garbled(texts: DataFrame, rounds: int = 5, prior: float = 1e-3) -> DataFrame:
-    """(src_table, row_id, source, text) -> (src_table, row_id, chain, posterior, restored) of the garbled rows."""
-    spark = texts.sparkSession
+    """(src_table, row_id, source, text) -> (src_table, row_id, chain, posterior, restored) of the garbled rows.
+
+    The clean character model starts without every text that could be a chain's output and is estimated once more
+    without the texts judged garbled, so that frequent garbling does not pass for normal text.
+    """
     texts = texts.select("src_table", "row_id", "source", "text")
-    model = character_model(texts)
-    common = common_characters(model)
     groups = texts.groupBy("src_table", "source").agg(F.count("*").alias("total"))
+    k = len(CHAINS) + 1
+    start = cut(groups.select("src_table", F.col("source").alias("rs"), "total", F.array(*[F.lit(prior / k)] * k).alias("rates")))
+    hint = F.pandas_udf(lambda s: s.map(could_be).astype(bool), "boolean")
+    held = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    flagged = cut(held.where(hint("text")))
+    counts = character_counts(texts)
+    model = character_model(counts, character_counts(flagged))
+    first = _judged(held, flagged, hint, start, model, rounds, prior).where("p > 0.5")
+    model = character_model(counts, character_counts(first))
+    final = _judged(held, flagged, hint, start, model, rounds, prior).where("p > 0.5")
+    final = final.withColumn("k", F.array_position("post", F.array_max("post")) - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def restore(texts: pd.Series, which: pd.Series) -> pd.Series:
+        r = _Repairer(shared.value)
+        return pd.Series([r.restore(t, *CHAINS[i]) if i < len(CHAINS) else None for t, i in zip(texts, which)])
+
+    names = F.array(*[F.lit(f"{e} read as {w}") for w, e in CHAINS], F.lit(LOSSY))
+    return final.select("src_table", "row_id", "source", names[F.col("k").cast("int")].alias("chain"), F.col("p").alias("posterior"), restore("text", F.col("k").cast("int")).alias("restored"))
+
+
+def _judged(held: DataFrame, flagged: DataFrame, hint, rates: DataFrame, model: dict[str, float], rounds: int, prior: float) -> DataFrame:
+    """The suspected rows with the posterior of each chain, ``post``, and of all together, ``p``."""
+    common = common_characters(model)
     left = F.translate("text", common, "") if common else F.col("text")
-    suspects = texts.where(F.col("text").isNotNull() & (left != ""))
-    judged = cut(chain_evidence(suspects, model))
+    judged = cut(chain_evidence(flagged.unionByName(held.where(left != "").where(~hint("text"))), model))
     k = len(CHAINS) + 1
-    rates = groups.select("src_table", F.col("source").alias("rs"), "total", F.array(*[F.lit(prior / k)] * k).alias("rates"))
-    rates = cut(rates)
     same = (F.col("j.src_table") == F.col("r.src_table")) & F.col("j.source").eqNullSafe(F.col("r.rs"))
 
     def posterior(rates: DataFrame) -> DataFrame:
@@ -272,17 +409,7 @@ def find_garbled(texts: DataFrame, rounds: int = 5, prior: float = 1e-3) -> Data
             .select("r.src_table", "r.rs", "r.total", F.array(*[(F.coalesce(f"s.s{i}", F.lit(0.0)) + prior) / (F.col("r.total") + k * prior + 1) for i in range(k)]).alias("rates"))
         )
         rates = cut(new)
-    shared = spark.sparkContext.broadcast(model)
-    final = posterior(rates).withColumn("p", F.aggregate("post", F.lit(0.0), lambda a, v: a + v)).where("p > 0.5")
-    final = final.withColumn("k", F.array_position("post", F.array_max("post")) - 1)
-
-    @F.pandas_udf("string")
-    def restore(texts: pd.Series, which: pd.Series) -> pd.Series:
-        r = _Repairer(shared.value)
-        return pd.Series([r.restore(t, *CHAINS[i]) if i < len(CHAINS) else None for t, i in zip(texts, which)])
-
-    names = F.array(*[F.lit(f"{e} read as {w}") for w, e in CHAINS], F.lit(LOSSY))
-    return final.select("src_table", "row_id", "source", names[F.col("k").cast("int")].alias("chain"), F.col("p").alias("posterior"), restore("text", F.col("k").cast("int")).alias("restored"))
+    return posterior(rates).withColumn("p", F.aggregate("post", F.lit(0.0), lambda a, v: a + v))
 
 
 def listing_texts(pages: DataFrame | None, jobs: DataFrame | None) -> DataFrame:

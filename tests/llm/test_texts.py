@@ -151,6 +151,20 @@ def test_garbled_rows_are_found_and_restored(spark):
     assert mojibake.find_garbled(df.limit(0)).count() == 0
 
 
+def test_frequent_garbling_does_not_pass_for_normal_text(spark):
+    """A third of the rows garbled: their characters are frequent, yet whole texts, single sentences and long runs come back."""
+    clean = ["马德里大市场对面的店诚请厨师，要求能吃苦，五年经验更好。", "Se busca cocinero en Málaga, con nociones de chino y tres años de oficio.", "月底统一回复，每周休两天，不收中介费，也不押工资。"]
+    garble = lambda t: t.encode().decode("gb18030")
+    whole = clean[2][:10] * 3 + clean[0][:12]
+    part = clean[2] + "<br>" + garble(clean[0][:12])
+    bad = [(1000 + i, garble(whole if i % 2 else clean[1])) for i in range(150)] + [(2000, part)]
+    df = spark.createDataFrame([(i, clean[i % 3]) for i in range(300)] + bad, "row_id long, text string").withColumn("src_table", F.lit("t")).withColumn("source", F.lit("s"))
+    got = {r["row_id"]: r["restored"] for r in mojibake.find_garbled(df).collect()}
+    assert set(got) == {i for i, _ in bad}
+    assert all(got[1000 + i] == (whole if i % 2 else clean[1]) for i in range(150))
+    assert got[2000] == clean[2] + "<br>" + clean[0][:12]
+
+
 # --- leaks
 
 
