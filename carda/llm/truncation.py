@@ -128,7 +128,9 @@ def _tails(texts: pd.Series) -> pd.DataFrame:
         "last": [0 if not b else 2 if b[-1] in _FULL_STOPS else 1 if b[-1] in _GOES_ON or (b[-1] == " " and b.rstrip()[-1:] in _GOES_ON) else 0 for b in bares],
     }
     if not tails:
-        return pd.DataFrame({**out, "bins": []})
+        return pd.DataFrame({**out, "own": [], "bins": []})
+    # whether the value's own end is among the counts
+    out["own"] = [bool(b) and b[-1] not in _TERMINATORS for b in bares]
     cp = _codes(tails)
     at = np.cumsum([len(t) + width for t in tails]) - 1
     out["bins"] = list(np.stack([_hashes(cp, k)[at - k + 1] for k in CONTEXTS], axis=1))
@@ -138,12 +140,13 @@ def _tails(texts: pd.Series) -> pd.DataFrame:
 def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08, at_limit: float = 0.45) -> DataFrame:
     """(src_table, row_id, source, text) -> (src_table, row_id, source, flags, ratio, limited, cut)."""
     values = values.select("src_table", "row_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    tail_udf = F.pandas_udf(_tails, "struct<flags:int,bare:int,bytes:int,last:int,bins:array<bigint>>")
+    tail_udf = F.pandas_udf(_tails, "struct<flags:int,bare:int,bytes:int,last:int,own:boolean,bins:array<bigint>>")
     counts = values.select("src_table", "text").mapInPandas(_context_counts, "src_table string, k int, bin long, total long, ended long")
     counts = counts.groupBy("src_table", "k", "bin").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended"))
-    tails = cut(values.select("src_table", "row_id", "source", tail_udf("text").alias("t")).select("src_table", "row_id", "source", "t.*"))
+    tails = cut(values.select("src_table", "row_id", "source", F.xxhash64("text").alias("copy"), tail_udf("text").alias("t")).select("src_table", "row_id", "source", "copy", "t.*"))
+    copies = tails.groupBy("src_table", "copy").agg(F.count("*").alias("copies"))
     # limits: lengths a source's values pile up at, in characters or bytes, with nothing much beyond
-    lengths = tails.where("bare > 0").select("src_table", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("bare").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
+    lengths = tails.where("bare > 0").dropDuplicates(["src_table", "source", "copy"]).select("src_table", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("bare").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
     hist = lengths.groupBy("src_table", "source", "x.unit", "x.n").agg(F.count("*").alias("c"))
     per = Window.partitionBy("src_table", "source", "unit").orderBy("n")
     total = F.sum("c").over(Window.partitionBy("src_table", "source", "unit"))
@@ -157,9 +160,12 @@ def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08,
     limits = cut(limits)
     by_char = limits.where("unit = 'chars'").select("src_table", F.col("source").alias("s"), F.col("n").alias("bare"), F.col("share").alias("char_share"))
     by_byte = limits.where("unit = 'bytes'").select("src_table", F.col("source").alias("s"), F.col("n").alias("bytes"), F.col("share").alias("byte_share"))
-    contexts = tails.select("src_table", "row_id", F.posexplode("bins").alias("p", "bin")).withColumn("k", F.array(*[F.lit(k) for k in CONTEXTS])[F.col("p")])
-    seen = contexts.join(counts, ["src_table", "k", "bin"], "left").groupBy("src_table", "row_id").agg(
-        F.max(F.when(F.col("total") >= min_support, F.struct("k", (F.col("ended") / F.col("total")).alias("ratio"), "total"))).alias("best")
+    contexts = tails.join(copies, ["src_table", "copy"]).select("src_table", "row_id", "own", "copies", F.posexplode("bins").alias("p", "bin")).withColumn("k", F.array(*[F.lit(k) for k in CONTEXTS])[F.col("p")])
+    # a context that only the judged text and its copies hold decides nothing; copies are otherwise counted, since whole
+    # values are repeated, too
+    others = contexts.join(counts, ["src_table", "k", "bin"], "left").withColumn("rest", F.col("total") - F.when(F.col("own"), F.col("copies")).otherwise(0))
+    seen = others.groupBy("src_table", "row_id").agg(
+        F.max(F.when(F.col("rest") >= min_support, F.struct("k", (F.col("ended") / F.col("total")).alias("ratio"), "total"))).alias("best")
     )
     x = tails.join(seen, ["src_table", "row_id"], "left")
     x = x.join(by_char, (x.src_table == by_char.src_table) & x.source.eqNullSafe(by_char.s) & (x.bare == by_char.bare), "left").select(x["*"], "char_share", "best.ratio")
@@ -171,7 +177,7 @@ def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08,
         | (F.col("flags").bitwiseAND(8) != 0)
         | (ratio < low)
         | ((share > 0.4) & (ratio < at_limit))
-        | (share > 0.85)
+        | ((share > 0.85) & (F.col("last") != 2))
         | ((F.col("flags").bitwiseAND(4) != 0) & (ratio < at_limit))
         | ((F.col("flags").bitwiseAND(1) != 0) & (ratio < at_limit))
     )

@@ -96,6 +96,20 @@ def test_cut_ends_stand_out(spark):
 PAGE = "<html><body><div class='menu'><a href='/1'>首页</a> <a href='/2'>招聘</a></div><div class='wrap'><h1 class='job-title'>马德里招<em>炒锅</em>师傅</h1><div class='job-meta'>薪资：1200到1350</div><div class='job-meta'>发布&nbsp;2026-03-20</div><div class='job-desc'><p>月港食府在马德里招炒锅师傅2名，能吃苦者先谈。店面不大，没有杂事。</p></div></div><div class='rel'><h4>相关职位</h4><div class='item'><a href='/j'>巴塞罗那招司机</a><span>3分钟前</span></div></div><div class='ft'>© 2024 版权所有 · 关于我们</div><div style='display:none'>月港食府在马德里</div><script>var x='<p>no</p>'</script></body></html>"
 
 
+def test_copies_do_not_decide_what_is_cut(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bcdfghjklp") for _ in range(r.randrange(3, 9)))
+    whole = [(i, "a", f"{word()} {word()} mantenimiento {word()} {word()}.") for i in range(300)]
+    cut_copies = [(1000 + i, "a", "Zq mant") for i in range(6)]
+    popular = [(2000 + i, "b", "xyzw vuts rqon eaea ieie aoao ueue ouou iaia uiui") for i in range(40)]
+    varied = [(3000 + i, "b", f"{word()} {word()} {word()}.") for i in range(300)]
+    ended = [(4000 + i, "c", (f"{i} " + word() * 9)[:29] + ".") for i in range(40)]
+    df = spark.createDataFrame(whole + cut_copies + popular + varied + ended, "row_id long, source string, text string").withColumn("src_table", F.lit("t"))
+    got = {x["row_id"] for x in truncation.judge_truncation(df).where("cut").collect()}
+    assert got == {i for i, _, _ in cut_copies}
+
+
+
 def test_blocks_split_at_block_tags():
     b = [x.squeezed for x in blocks.leaf_blocks("<p>a <b>b</b><br>c<td>d&nbsp;e</td><!-- <p>x</p> --><script>y</script>f")]
     assert b == ["ab", "c", "de", "f"]
