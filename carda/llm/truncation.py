@@ -3,7 +3,7 @@
 Three kinds of evidence are joined per record. A stack automaton over quotes, brackets, markup tags and escapes says
 what is left open at the end and whether a multi-byte character was broken. The source's own length distribution says
 whether values pile up at a limit. The corpus says how often text that reads like the record's end really ends there
-(at a terminator or a clause break) instead of going on: the source baseline of missing terminators.
+(at a terminator or a clause break) instead of going on: the table's baseline of missing terminators.
 
 Defined cases: null and empty values are not cut; a value of one character is judged like any other; the whole value
 is read, however long; repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored.
