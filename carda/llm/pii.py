@@ -137,7 +137,7 @@ def candidates(n: str) -> list[tuple[int, int, str]]:
                 if words[0] in ("D", "Sra", "Sr", "Dña", "Don", "Doña") and len(words) == 1:
                     continue
                 e = a
-                for k, w in enumerate(words[:3]):
+                for k, w in enumerate(words):
                     e = e + len(w) + (1 if k else 0)
                     if w in ("de", "del", "la"):
                         continue

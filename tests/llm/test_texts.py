@@ -33,6 +33,12 @@ def test_items(text, want):
     assert got == want
 
 
+def test_long_names_are_taken_whole():
+    text = "Preguntar por Maria del Carmen Garcia Lopez de 10 a 14."
+    got = pii.Tagger(pii.load_model()["weights"]).items(text)
+    assert [(text[a:b], t) for a, b, t in got] == [("Maria del Carmen Garcia Lopez", "name")]
+
+
 def test_masking_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "电话：696854657。明天见"), (2, None), (3, ""), (3, "")], "row_id long, text string").withColumn("src_table", F.lit("t")).withColumn("masked", F.lit("clash"))
     got = {r["row_id"]: r["masked"] for r in pii.mask_text(df.drop("masked")).collect()}
