@@ -18,6 +18,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -60,7 +61,7 @@ _SPANISH = set("áéíóúñüÁÉÍÓÚÑÜ¿¡ªº·«»°©®€")
 _FOREIGN, _INVENTED = -12.0, -25.0
 #: How far a sum of gains may fall before a stretch is closed.
 _MARGIN = 16
-_MAX_CP = 0x20000
+_MAX_CP = 0x110000
 _BYTES_1252 = {0x81: "\x81", 0x8D: "\x8d", 0x8F: "\x8f", 0x90: "\x90", 0x9D: "\x9d"}
 _BACK_1252 = {v: k for k, v in _BYTES_1252.items()}
 
@@ -120,8 +121,13 @@ _ONE = {
 _STRETCH = {e: re.compile(b"(?:" + one + b")+" + (rb"(?:[\xc2-\xf4][\x80-\xbf]{0,2}\xff)?" if e == "utf-8" else b"")) for e, one in _ONE.items()}
 _WIDE = ("gb18030", "big5", "shift_jis")
 _THREE = rb"(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])"
-#: Bytes of a wide codec that can be UTF-8: some characters in a row, or one with no other high byte around it.
-_WIDE_HINT = re.compile(_THREE + b"{2}|(?:[\xc2-\xdf][\x80-\xbf]){6}|(?<![\x80-\xff?])" + _ONE["utf-8"] + b"+(?![\x80-\xff?])")
+#: What follows the leading byte of a character of two bytes, of three, of any number.
+_AFTER_2 = rb"(?<=[\xc2-\xdf])[\x80-\xbf]"
+_AFTER_3 = rb"(?:(?<=\xe0)[\xa0-\xbf][\x80-\xbf]|(?<=[\xe1-\xec\xee\xef])[\x80-\xbf]{2}|(?<=\xed)[\x80-\x9f][\x80-\xbf])"
+_AFTER = b"(?:" + _AFTER_2 + b"|" + _AFTER_3 + rb"|(?<=\xf0)[\x90-\xbf][\x80-\xbf]{2}|(?<=[\xf1-\xf3])[\x80-\xbf]{3})"
+#: Bytes of a wide codec that can be UTF-8: some characters in a row, or one with no other high byte around it. The
+#: search runs from leading byte to leading byte.
+_WIDE_HINT = re.compile(rb"(?s)[\xc2-\xf4](?:" + _AFTER_3 + _THREE + b"|" + _AFTER_2 + rb"(?:[\xc2-\xdf][\x80-\xbf]){5}|(?<![\x80-\xff?].)" + _AFTER + _ONE["utf-8"] + rb"*(?![\x80-\xff?]))")
 _NARROW = re.compile("[\x00-\u2e7f]+")
 #: All that single bytes read as other than ASCII, and where two such characters stand together, one letter between at most.
 _LOW = "\x80-\u2e7f\uf8ff\ufb01\ufb02"
@@ -138,6 +144,16 @@ def _byte_char(byte: int, codec: str) -> str:
     return bytes([byte]).decode(codec, "ignore")
 
 
+@lru_cache(maxsize=len(CHAINS))
+def _narrow_codec(codec: str) -> tuple[re.Pattern, dict[int, int]]:
+    """Stretches a one-byte decoder could have made, ASCII only between other characters, and each character's byte."""
+    table = {0xFFFD: 0xFF}  # one or more bytes that are gone
+    for byte in range(0x80, 0x100):
+        if len(ch := _byte_char(byte, codec)) == 1:
+            table.setdefault(ord(ch), byte)
+    return re.compile(f"(?:[{re.escape(''.join(map(chr, table)))}][\x00-\x7f]{{0,2}})+"), table
+
+
 def _class(codec: str, lo: int, hi: int) -> str:
     return re.escape("".join(_byte_char(x, codec) for x in range(lo, hi)))
 
@@ -155,27 +171,49 @@ _HINTS = {(w, e): _single_hint(w, e) for w, e in CHAINS if w not in _WIDE}
 _TWICE = {c: re.compile(f"(?:{h.pattern}){{2}}") for c, h in _HINTS.items() if c[1] != "utf-8"}
 
 
-def could_be(text: str) -> bool:
+def possible_characters(counts: dict[str, int]) -> frozenset[str]:
+    """Characters that can be common in any character model made of ``counts``, which keeps at least a twentieth of them."""
+    bound = 0.05 * COMMON_SHARE * sum(counts.values())
+    return frozenset(c for c, n in counts.items() if n >= bound and (c in _SPANISH or not _TELLTALE.match(c)))
+
+
+def could_be(texts: list[str], possible: frozenset[str] | None = None) -> np.ndarray:
     """Whether the bytes of some chain make a readable text: a cheap test, which clean texts may pass, too.
 
     Two wide codecs read each other's bytes nearly always; of them the leading bytes must be those of frequent
-    characters in the true encoding and not in the wrong one. Text that was lost counts, too.
+    characters in the true encoding and not in the wrong one. Text that was lost counts, too. A stretch none of whose
+    characters is in ``possible`` is no likelier undone, so it is no sign; the texts of a batch are searched together.
     """
-    if text.isascii():
-        return False
-    if lossy_evidence(text) > 0:
-        return True
-    text = _PLAIN.sub(r"\1 \2", text)
-    if _LOW_PAIR.search(text) and any((_TWICE.get(c) or h).search(text) for c, h in _HINTS.items()):
-        return True
-    if any(_wide_hint(text, w) for w in _WIDE):
-        return True
-    signs = _NARROW.sub("", text)
-    return any(_trades(signs, w, e) for w, e in CHAINS if w in _WIDE and e != "utf-8")
+    out = np.zeros(len(texts), bool)
+    if not len(texts):
+        return out
+    joined = "\0".join(t.replace("\0", " ") if "\0" in t else t for t in texts) + "\0"
+    if joined.isascii():
+        return out
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.flatnonzero(cp == 0)
+    for i in np.unique(np.searchsorted(ends, np.flatnonzero(cp == 0xFFFD))):
+        out[i] = lossy_evidence(texts[i]) > 0
+    pairs = np.fromiter((m.start() for m in _LOW_PAIR.finditer(joined)), np.int64)
+    for i in np.unique(np.searchsorted(ends, pairs)):
+        if not out[i]:
+            t = _PLAIN.sub(r"\1 \2", texts[i])
+            out[i] = any((_TWICE.get(c) or h).search(t) for c, h in _HINTS.items())
+    # a question mark stands for what the codec does not have
+    masked = joined.replace("\ufffd", " ").replace("?", " ")
+    for wrong in _WIDE:
+        raw = masked.encode(wrong, "replace")
+        nul = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
+        hits = np.fromiter((m.start() for m in _WIDE_HINT.finditer(raw) if possible is None or not possible.isdisjoint(m[0].decode("utf-8", "ignore"))), np.int64)
+        out[np.searchsorted(nul, hits)] = True
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    for wrong, right in CHAINS:
+        if wrong in _WIDE and right != "utf-8":
+            out |= _trades(cp, starts, wrong, right)
+    return out
 
 
 def _wide_hint(text: str, wrong: str) -> bool:
-    # a question mark stands for what the codec does not have
     return _WIDE_HINT.search(text.replace("\ufffd", " ").replace("?", " ").encode(wrong, "replace")) is not None
 
 
@@ -183,12 +221,23 @@ def _wide_hint(text: str, wrong: str) -> bool:
 _FREQUENT = {"gb18030": (0xB0, 0xD7), "big5": (0xA4, 0xC6)}
 
 
-def _trades(signs: str, wrong: str, right: str) -> bool:
-    lead = np.frombuffer(signs.encode("gbk" if wrong == "gb18030" else wrong, "ignore"), np.uint8)[::2]
-    if len(lead) < 2:
-        return False
-    share = {e: np.count_nonzero((lead >= lo) & (lead <= hi) | (lead >= 0xA1) & (lead <= 0xA3)) / len(lead) for e, (lo, hi) in _FREQUENT.items()}
-    return share[right] > 0.8 and share[wrong] < 0.7
+@lru_cache(maxsize=4)
+def _leads(codec: str) -> np.ndarray:
+    """Leading byte of every character of a two-byte codec, 0 for all others and for narrow ones."""
+    out = np.zeros(0x10001, np.uint8)
+    for cp in range(0x2E80, 0x10000):
+        if not 0xD800 <= cp <= 0xDFFF and len(b := chr(cp).encode(codec, "ignore")) == 2:
+            out[cp] = b[0]
+    return out
+
+
+def _trades(cp: np.ndarray, starts: np.ndarray, wrong: str, right: str) -> np.ndarray:
+    """Of every text, whether its leading bytes are those of the true encoding rather than the wrong one's."""
+    lead = _leads("gbk" if wrong == "gb18030" else wrong)[np.minimum(cp, 0x10000)]
+    n = np.add.reduceat((lead > 0).astype(np.int64), starts)
+    either = (lead >= 0xA1) & (lead <= 0xA3)
+    share = {e: np.add.reduceat(((lead >= lo) & (lead <= hi) | either).astype(np.int64), starts) / np.maximum(n, 1) for e, (lo, hi) in _FREQUENT.items()}
+    return (n >= 2) & (share[right] > 0.8) & (share[wrong] < 0.7)
 
 
 class _Repairer:
@@ -199,6 +248,7 @@ class _Repairer:
         self.common = set(common_characters(model))
         self.byte: dict[str, dict[str, bytes | None]] = {w: {} for w, _ in CHAINS}
         self.steps: dict[str, dict[tuple[str, bytes], tuple[str, float]]] = {e: {} for _, e in CHAINS}
+        self.single: dict[tuple[str, str], dict[str, float]] = {c: {} for c in CHAINS}
 
     def score(self, s: str, rare: float) -> float:
         m, c = self.model, self.common
@@ -210,11 +260,16 @@ class _Repairer:
     def restore(self, text: str, wrong: str, right: str) -> str:
         return self.undo_deep(text, wrong, right)[0]
 
-    def _runs(self, text: str, wrong: str, right: str) -> Iterator[tuple[int, int, list[bytes]]]:
-        """Maximal stretches the wrong decoder could have produced, as the bytes of each character."""
+    def _runs(self, text: str, wrong: str, right: str) -> Iterator[tuple[int, int, bytes, list[int] | None]]:
+        """Maximal stretches the wrong decoder could have produced: their bytes and where each character's begin."""
+        if wrong not in _WIDE:
+            pattern, table = _narrow_codec(wrong)
+            for m in pattern.finditer(text):
+                yield m.start(), m.end(), m[0].translate(table).encode("latin-1"), None
+            return
         memo = self.byte[wrong]
         # two wide codecs are weighed over the whole text, the others where it is not plain
-        for m in (_WHOLE if wrong in _WIDE and right != "utf-8" else _SEGMENT).finditer(text):
+        for m in (_WHOLE if right != "utf-8" else _SEGMENT).finditer(text):
             start, parts = m.start(), []
             for i, ch in enumerate(m[0], start):
                 if ch in memo:
@@ -223,23 +278,25 @@ class _Repairer:
                     b = memo[ch] = _encode(ch, wrong)
                 if b is None:
                     if parts:
-                        yield start, i, parts
+                        yield start, i, b"".join(parts), list(accumulate(map(len, parts), initial=0))
                     start, parts = i + 1, []
                 else:
                     parts.append(b)
             if parts:
-                yield start, m.end(), parts
+                yield start, m.end(), b"".join(parts), list(accumulate(map(len, parts), initial=0))
 
     def undo(self, text: str, wrong: str, right: str) -> tuple[str, float]:
         """The text with the chain undone and the gain in log likelihood."""
         if text.isascii() or not self._hinted(text, wrong, right):
             return text, 0.0
+        if wrong in _WIDE and right != "utf-8" and self._bound(text, wrong, right) <= -_FOREIGN:
+            return text, 0.0
         out, at, gain = [], 0, 0.0
-        for i, j, parts in self._runs(text, wrong, right):
+        for i, j, raw, begin in self._runs(text, wrong, right):
             piece = text[i:j]
             if piece.isascii():
                 continue
-            fixed, g = self._wide(piece, parts, right) if wrong in _WIDE and right != "utf-8" else self._stretches(piece, parts, wrong, right)
+            fixed, g = self._wide(piece, raw, begin, right) if wrong in _WIDE and right != "utf-8" else self._stretches(piece, raw, begin, wrong, right)
             if g > 0:
                 out += [text[at:i], fixed]
                 at, gain = j, gain + g
@@ -251,22 +308,42 @@ class _Repairer:
             return _HINTS[wrong, right].search(text) is not None
         return right != "utf-8" or _wide_hint(text, wrong)
 
-    def _stretches(self, piece: str, parts: list[bytes], wrong: str, right: str) -> tuple[str, float]:
+    def _bound(self, text: str, wrong: str, right: str) -> float:
+        """The most any stretch of the text can gain by trading two wide codecs: its largest sum of single gains."""
+        known, memo = self.single[wrong, right], self.byte[wrong]
+        for ch in set(text).difference(known):
+            b = memo[ch] if ch in memo else memo.setdefault(ch, _encode(ch, wrong))
+            known[ch] = -math.inf if b is None else self._step(ch, b, right)[1]
+        best = total = 0.0
+        for g in map(known.__getitem__, text):
+            total += g
+            if total < 0.0:
+                total = 0.0
+            elif total > best:
+                best = total
+        return best
+
+    def _step(self, ch: str, b: bytes, right: str) -> tuple[str, float]:
+        x = ch if ch.isascii() else b.decode(right, "replace")
+        return x, 0.0 if x == ch else self.score(x, _INVENTED) - self.score(ch, _FOREIGN)
+
+    def _stretches(self, piece: str, raw: bytes, begin: list[int] | None, wrong: str, right: str) -> tuple[str, float]:
         """Each stretch that is valid in the true encoding, judged as a whole; all other bytes stay as they were read."""
-        raw = b"".join(parts)
-        begin: list[int] = []
         out, at, gain = [], 0, 0.0  # at: characters of the piece that are done
         for m in _STRETCH[right].finditer(raw):
             # a wide codec has chance hits amid clean text: a short one must have no other high byte around it
             if wrong in _WIDE and m.end() - m.start() < 6 and (raw[m.start() - 1 : m.start()] > b"\x7f" or b"\x7f" < raw[m.end() : m.end() + 1] < b"\xff"):
                 continue
-            begin = begin or list(accumulate(map(len, parts), initial=0))
-            a, b = bisect_right(begin, m.start()) - 1, bisect_left(begin, m.end())
+            if begin is None:  # one byte a character
+                a, b = m.span()
+                head = tail = b""
+            else:
+                a, b = bisect_right(begin, m.start()) - 1, bisect_left(begin, m.end())
+                # bytes of the outer characters that do not belong to the stretch
+                head, tail = raw[begin[a] : m.start()], raw[m.end() : begin[b]]
             if a < at:
                 continue
             old = piece[a:b]
-            # bytes of the outer characters that do not belong to the stretch
-            head, tail = raw[begin[a] : m.start()], raw[m.end() : begin[b]]
             body = m[0]
             if right == "utf-8" and body[-1:] == b"\xff":
                 body = re.sub(rb"[\xc2-\xf4][\x80-\xbf]{0,2}\xff$", b"\xef\xbf\xbd", body)
@@ -285,15 +362,14 @@ class _Repairer:
     def _back(half: bytes) -> str:
         return half.decode("ascii", "replace")
 
-    def _wide(self, piece: str, parts: list[bytes], right: str) -> tuple[str, float]:
+    def _wide(self, piece: str, raw: bytes, begin: list[int], right: str) -> tuple[str, float]:
         """Two-byte codecs read each other's characters one for one, so the best stretches are found by their sums."""
         memo = self.steps[right]
         new, step = [], []
-        for ch, b in zip(piece, parts):
-            known = memo.get((ch, b))
+        for ch, i, j in zip(piece, begin, begin[1:]):
+            known = memo.get((ch, raw[i:j]))
             if known is None:
-                x = ch if ch.isascii() else b.decode(right, "replace")
-                known = memo[ch, b] = (x, 0.0 if x == ch else self.score(x, _INVENTED) - self.score(ch, _FOREIGN))
+                known = memo[ch, raw[i:j]] = self._step(ch, raw[i:j], right)
             new.append(known[0])
             step.append(known[1])
         out, at, gain, i = [], 0, 0.0, 0
@@ -354,20 +430,22 @@ def _likelihoods(rate_col: str):
     return F.zip_with("gains", rate_col, lambda g, r: F.when(g > 0, g + F.log(r)).otherwise(F.lit(-1e9)))
 
 
-def find_garbled(texts: DataFrame, rounds: int = 5, prior: float = 1e-3) -> DataFrame:
+def find_garbled(texts: DataFrame, rounds: int = 20, prior: float = 1e-3) -> DataFrame:
     """(src_table, row_id, source, text) -> (src_table, row_id, chain, posterior, restored) of the garbled rows.
 
     The clean character model starts without every text that could be a chain's output and is estimated once more
-    without the texts judged garbled, so that frequent garbling does not pass for normal text.
+    without the texts judged garbled, so that frequent garbling does not pass for normal text. The rates are
+    re-estimated until they stand still, ``rounds`` times at most.
     """
     texts = texts.select("src_table", "row_id", "source", "text")
     groups = texts.groupBy("src_table", "source").agg(F.count("*").alias("total"))
     k = len(CHAINS) + 1
     start = cut(groups.select("src_table", F.col("source").alias("rs"), "total", F.array(*[F.lit(prior / k)] * k).alias("rates")))
-    hint = F.pandas_udf(lambda s: s.map(could_be).astype(bool), "boolean")
     held = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    flagged = cut(held.where(hint("text")))
     counts = character_counts(texts)
+    known = texts.sparkSession.sparkContext.broadcast(possible_characters(counts))  # bounded by the size of Unicode
+    hint = F.pandas_udf(lambda s: pd.Series(could_be(s.tolist(), known.value)), "boolean")
+    flagged = cut(held.where(hint("text")))
     model = character_model(counts, character_counts(flagged))
     first = _judged(held, flagged, hint, start, model, rounds, prior).where("p > 0.5")
     model = character_model(counts, character_counts(first))
@@ -408,7 +486,12 @@ def _judged(held: DataFrame, flagged: DataFrame, hint, rates: DataFrame, model:
             .join(soft.alias("s"), (F.col("r.src_table") == F.col("s.src_table")) & F.col("r.rs").eqNullSafe(F.col("s.source")), "left")
             .select("r.src_table", "r.rs", "r.total", F.array(*[(F.coalesce(f"s.s{i}", F.lit(0.0)) + prior) / (F.col("r.total") + k * prior + 1) for i in range(k)]).alias("rates"))
         )
-        rates = cut(new)
+        new = cut(new)
+        moved = new.alias("n").join(rates.alias("o"), (F.col("n.src_table") == F.col("o.src_table")) & F.col("n.rs").eqNullSafe(F.col("o.rs")))
+        delta = moved.agg(F.max(F.array_max(F.zip_with("n.rates", "o.rates", lambda x, y: F.abs(x - y))))).first()[0]
+        rates = new
+        if (delta or 0.0) < 1e-5:  # converged
+            break
     return posterior(rates).withColumn("p", F.aggregate("post", F.lit(0.0), lambda a, v: a + v))
 
 
