@@ -62,6 +62,8 @@ _FOREIGN, _INVENTED = -12.0, -25.0
 #: How far a sum of gains may fall before a stretch is closed.
 _MARGIN = 16
 _MAX_CP = 0x110000
+#: Rates stand still when none moves by more.
+STILL = 2e-4
 _BYTES_1252 = {0x81: "\x81", 0x8D: "\x8d", 0x8F: "\x8f", 0x90: "\x90", 0x9D: "\x9d"}
 _BACK_1252 = {v: k for k, v in _BYTES_1252.items()}
 
@@ -132,6 +134,7 @@ _NARROW = re.compile("[\x00-\u2e7f]+")
 #: All that single bytes read as other than ASCII, and where two such characters stand together, one letter between at most.
 _LOW = "\x80-\u2e7f\uf8ff\ufb01\ufb02"
 _LOW_PAIR = re.compile(f"[{_LOW}][@-~]?[{_LOW}]")
+_LOW_PARTS = re.compile(f"(?:[{_LOW}\ufffd][\x00-\x7f]{{0,2}})+")
 _PLAIN = re.compile("([\x00-\x7f])[\x00-\x7f]+([\x00-\x7f])")
 #: Other characters than ASCII with the ASCII that may be part of two-byte ones.
 _WHOLE = re.compile("(?s).+")
@@ -144,14 +147,21 @@ def _byte_char(byte: int, codec: str) -> str:
     return bytes([byte]).decode(codec, "ignore")
 
 
+class _Bytes(dict):
+    """Characters to the byte a one-byte decoder reads them from; a line end for those it never makes."""
+
+    def __missing__(self, cp: int) -> int:
+        self[cp] = cp if cp < 0x80 else 0x0A
+        return self[cp]
+
+
 @lru_cache(maxsize=len(CHAINS))
-def _narrow_codec(codec: str) -> tuple[re.Pattern, dict[int, int]]:
-    """Stretches a one-byte decoder could have made, ASCII only between other characters, and each character's byte."""
-    table = {0xFFFD: 0xFF}  # one or more bytes that are gone
+def _byte_table(codec: str) -> _Bytes:
+    out = _Bytes({0xFFFD: 0xFF})  # one or more bytes that are gone
     for byte in range(0x80, 0x100):
         if len(ch := _byte_char(byte, codec)) == 1:
-            table.setdefault(ord(ch), byte)
-    return re.compile(f"(?:[{re.escape(''.join(map(chr, table)))}][\x00-\x7f]{{0,2}})+"), table
+            out.setdefault(ord(ch), byte)
+    return out
 
 
 def _class(codec: str, lo: int, hi: int) -> str:
@@ -248,6 +258,7 @@ class _Repairer:
         self.common = set(common_characters(model))
         self.byte: dict[str, dict[str, bytes | None]] = {w: {} for w, _ in CHAINS}
         self.steps: dict[str, dict[tuple[str, bytes], tuple[str, float]]] = {e: {} for _, e in CHAINS}
+        self.judged: dict[tuple[str, str], dict[str, tuple[str, float]]] = {c: {} for c in CHAINS}
         self.single: dict[tuple[str, str], dict[str, float]] = {c: {} for c in CHAINS}
 
     def score(self, s: str, rare: float) -> float:
@@ -255,18 +266,14 @@ class _Repairer:
         return sum(m[x] if x in c else rare for x in s)
 
     def gains(self, text: str) -> list[float]:
-        return [self.undo_deep(text, w, e)[1] for w, e in CHAINS]
+        low = "\n".join(_LOW_PARTS.findall(text))  # all that decoders of single bytes can have made
+        return [self.undo_deep(text, w, e)[1] if w in _WIDE or self.undo(low, w, e)[1] > 0 else 0.0 for w, e in CHAINS]
 
     def restore(self, text: str, wrong: str, right: str) -> str:
         return self.undo_deep(text, wrong, right)[0]
 
-    def _runs(self, text: str, wrong: str, right: str) -> Iterator[tuple[int, int, bytes, list[int] | None]]:
+    def _runs(self, text: str, wrong: str, right: str) -> Iterator[tuple[int, int, bytes, list[int]]]:
         """Maximal stretches the wrong decoder could have produced: their bytes and where each character's begin."""
-        if wrong not in _WIDE:
-            pattern, table = _narrow_codec(wrong)
-            for m in pattern.finditer(text):
-                yield m.start(), m.end(), m[0].translate(table).encode("latin-1"), None
-            return
         memo = self.byte[wrong]
         # two wide codecs are weighed over the whole text, the others where it is not plain
         for m in (_WHOLE if right != "utf-8" else _SEGMENT).finditer(text):
@@ -289,19 +296,51 @@ class _Repairer:
         """The text with the chain undone and the gain in log likelihood."""
         if text.isascii() or not self._hinted(text, wrong, right):
             return text, 0.0
-        if wrong in _WIDE and right != "utf-8" and self._bound(text, wrong, right) <= -_FOREIGN:
+        if wrong not in _WIDE:
+            return self._narrow(text, wrong, right)
+        if right != "utf-8" and self._bound(text, wrong, right) <= -_FOREIGN:
             return text, 0.0
         out, at, gain = [], 0, 0.0
         for i, j, raw, begin in self._runs(text, wrong, right):
             piece = text[i:j]
             if piece.isascii():
                 continue
-            fixed, g = self._wide(piece, raw, begin, right) if wrong in _WIDE and right != "utf-8" else self._stretches(piece, raw, begin, wrong, right)
+            fixed, g = self._wide(piece, raw, begin, right) if right != "utf-8" else self._stretches(piece, raw, begin, wrong, right)
             if g > 0:
                 out += [text[at:i], fixed]
                 at, gain = j, gain + g
         return "".join([*out, text[at:]]), gain
 
+    def _narrow(self, text: str, wrong: str, right: str) -> tuple[str, float]:
+        """A decoder of single bytes undone in every stretch that is valid in the true encoding, each judged as a whole."""
+        raw = text.translate(_byte_table(wrong)).encode("latin-1")
+        memo = self.judged[wrong, right]
+        out, at, gain = [], 0, 0.0
+        for m in _STRETCH[right].finditer(raw):
+            a, b = m.span()
+            old = text[a:b]
+            known = memo.get(old)
+            if known is None:
+                if len(memo) > 100_000:
+                    memo.clear()
+                known = memo[old] = self._weigh(old, m[0], b"", b"", wrong, right)
+            if known[1] > 0:
+                out += [text[at:a], known[0]]
+                at, gain = b, gain + known[1]
+        return "".join([*out, text[at:]]), gain
+
+    def _weigh(self, old: str, body: bytes, head: bytes, tail: bytes, wrong: str, right: str) -> tuple[str, float]:
+        """A stretch read in the true encoding and what that gains; the bytes around it stay as they were read."""
+        if right == "utf-8" and body[-1:] == b"\xff":
+            body = re.sub(rb"[\xc2-\xf4][\x80-\xbf]{0,2}\xff$", b"\xef\xbf\xbd", body)
+        new = self._back(head) + body.decode(right, "replace") + self._back(tail)
+        g = self.score(new.replace("\ufffd", ""), _INVENTED) - self.score(old.replace("\ufffd", ""), _FOREIGN)
+        g += _INVENTED * max(0, new.count("\ufffd") - old.count("\ufffd"))
+        if g <= 0:  # garbled twice, the text is no likelier after one step
+            new, more = self.undo(new, wrong, right)
+            g += more
+        return new, g
+
     @staticmethod
     def _hinted(text: str, wrong: str, right: str) -> bool:
         if wrong not in _WIDE:
@@ -327,32 +366,18 @@ class _Repairer:
         x = ch if ch.isascii() else b.decode(right, "replace")
         return x, 0.0 if x == ch else self.score(x, _INVENTED) - self.score(ch, _FOREIGN)
 
-    def _stretches(self, piece: str, raw: bytes, begin: list[int] | None, wrong: str, right: str) -> tuple[str, float]:
-        """Each stretch that is valid in the true encoding, judged as a whole; all other bytes stay as they were read."""
+    def _stretches(self, piece: str, raw: bytes, begin: list[int], wrong: str, right: str) -> tuple[str, float]:
+        """Each stretch of a wide codec's bytes that is valid in the true encoding, judged as a whole."""
         out, at, gain = [], 0, 0.0  # at: characters of the piece that are done
         for m in _STRETCH[right].finditer(raw):
-            # a wide codec has chance hits amid clean text: a short one must have no other high byte around it
-            if wrong in _WIDE and m.end() - m.start() < 6 and (raw[m.start() - 1 : m.start()] > b"\x7f" or b"\x7f" < raw[m.end() : m.end() + 1] < b"\xff"):
+            # chance hits amid clean text: a short one must have no other high byte around it
+            if m.end() - m.start() < 6 and (raw[m.start() - 1 : m.start()] > b"\x7f" or b"\x7f" < raw[m.end() : m.end() + 1] < b"\xff"):
                 continue
-            if begin is None:  # one byte a character
-                a, b = m.span()
-                head = tail = b""
-            else:
-                a, b = bisect_right(begin, m.start()) - 1, bisect_left(begin, m.end())
-                # bytes of the outer characters that do not belong to the stretch
-                head, tail = raw[begin[a] : m.start()], raw[m.end() : begin[b]]
+            a, b = bisect_right(begin, m.start()) - 1, bisect_left(begin, m.end())
             if a < at:
                 continue
-            old = piece[a:b]
-            body = m[0]
-            if right == "utf-8" and body[-1:] == b"\xff":
-                body = re.sub(rb"[\xc2-\xf4][\x80-\xbf]{0,2}\xff$", b"\xef\xbf\xbd", body)
-            new = self._back(head) + body.decode(right, "replace") + self._back(tail)
-            g = self.score(new.replace("\ufffd", ""), _INVENTED) - self.score(old.replace("\ufffd", ""), _FOREIGN)
-            g += _INVENTED * max(0, new.count("\ufffd") - old.count("\ufffd"))
-            if g <= 0:  # garbled twice, the text is no likelier after one step
-                new, more = self.undo(new, wrong, right)
-                g += more
+            # bytes of the outer characters that do not belong to the stretch
+            new, g = self._weigh(piece[a:b], m[0], raw[begin[a] : m.start()], raw[m.end() : begin[b]], wrong, right)
             if g > 0:
                 out += [piece[at:a], new]
                 at, gain = b, gain + g
@@ -447,9 +472,12 @@ def find_garbled(texts: DataFrame, rounds: int = 20, prior: float = 1e-3) -> Dat
     hint = F.pandas_udf(lambda s: pd.Series(could_be(s.tolist(), known.value)), "boolean")
     flagged = cut(held.where(hint("text")))
     model = character_model(counts, character_counts(flagged))
-    first = _judged(held, flagged, hint, start, model, rounds, prior).where("p > 0.5")
+    first = _judged(flagged, start, model, rounds, prior).where("p > 0.5")
     model = character_model(counts, character_counts(first))
-    final = _judged(held, flagged, hint, start, model, rounds, prior).where("p > 0.5")
+    # and texts with characters that are not common, whatever their bytes make
+    common = common_characters(model)
+    left = F.translate("text", common, "") if common else F.col("text")
+    final = _judged(flagged.unionByName(held.where(left != "").where(~hint("text"))), start, model, rounds, prior).where("p > 0.5")
     final = final.withColumn("k", F.array_position("post", F.array_max("post")) - 1)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
@@ -462,11 +490,10 @@ def find_garbled(texts: DataFrame, rounds: int = 20, prior: float = 1e-3) -> Dat
     return final.select("src_table", "row_id", "source", names[F.col("k").cast("int")].alias("chain"), F.col("p").alias("posterior"), restore("text", F.col("k").cast("int")).alias("restored"))
 
 
-def _judged(held: DataFrame, flagged: DataFrame, hint, rates: DataFrame, model: dict[str, float], rounds: int, prior: float) -> DataFrame:
+def _judged(suspects: DataFrame, rates: DataFrame, model: dict[str, float], rounds: int, prior: float) -> DataFrame:
     """The suspected rows with the posterior of each chain, ``post``, and of all together, ``p``."""
-    common = common_characters(model)
-    left = F.translate("text", common, "") if common else F.col("text")
-    judged = cut(chain_evidence(flagged.unionByName(held.where(left != "").where(~hint("text"))), model))
+    # a text no chain gains on is clean at any rates
+    judged = cut(chain_evidence(suspects, model).where(F.exists("gains", lambda g: g > 0)))
     k = len(CHAINS) + 1
     same = (F.col("j.src_table") == F.col("r.src_table")) & F.col("j.source").eqNullSafe(F.col("r.rs"))
 
@@ -484,13 +511,12 @@ def _judged(held: DataFrame, flagged: DataFrame, hint, rates: DataFrame, model:
         new = (
             rates.alias("r")
             .join(soft.alias("s"), (F.col("r.src_table") == F.col("s.src_table")) & F.col("r.rs").eqNullSafe(F.col("s.source")), "left")
-            .select("r.src_table", "r.rs", "r.total", F.array(*[(F.coalesce(f"s.s{i}", F.lit(0.0)) + prior) / (F.col("r.total") + k * prior + 1) for i in range(k)]).alias("rates"))
+            .select("r.src_table", "r.rs", "r.total", F.array(*[(F.coalesce(f"s.s{i}", F.lit(0.0)) + prior) / (F.col("r.total") + k * prior + 1) for i in range(k)]).alias("rates"), F.col("r.rates").alias("old"))
+            .withColumn("moved", F.array_max(F.zip_with("rates", "old", lambda x, y: F.abs(x - y))))
+            .drop("old")
         )
-        new = cut(new)
-        moved = new.alias("n").join(rates.alias("o"), (F.col("n.src_table") == F.col("o.src_table")) & F.col("n.rs").eqNullSafe(F.col("o.rs")))
-        delta = moved.agg(F.max(F.array_max(F.zip_with("n.rates", "o.rates", lambda x, y: F.abs(x - y))))).first()[0]
-        rates = new
-        if (delta or 0.0) < 1e-5:  # converged
+        rates = cut(new)
+        if (rates.agg(F.max("moved")).first()[0] or 0.0) < STILL:
             break
     return posterior(rates).withColumn("p", F.aggregate("post", F.lit(0.0), lambda a, v: a + v))
 
