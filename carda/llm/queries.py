@@ -28,6 +28,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_fields(table(spark, d, "jobs_clean"), table(spark, d, "review_queue"))
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.survivor import surviving_bundles
+
+    return surviving_bundles(table(spark, d, "jobs_clean"), table(spark, d, "review_queue"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.canonical import map_jobs, typed_differently
 
@@ -103,11 +109,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_to_the_eye(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    from carda.llm.lookalike import variant_classes
+
+    return variant_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_masked": p1_masked,
         "p2_found": p2_found,
+        "p2_records": p2_records,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_source_rates": p4_source_rates,
@@ -119,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
         "p10_found": p10_found,
+        "p10_classes": p10_classes,
     }
 
 

@@ -78,17 +78,33 @@ def test_survivor_takes_the_best_bundle(spark):
 def test_search_equals_trying_everything():
     r = random.Random(4)
     for _ in range(60):
-        opts = [[(r.randrange(1, 50), i, {"a": r.choice("xy"), "b": r.choice("pq")}) for i in range(r.randrange(0, 5))] for _ in range(3)]
-        rules = [(0, "a", 1, "b", {"x": "p", "y": "q"})]
+        demand = lambda: {0: r.choice("xy")} if r.random() < 0.8 else {}
+        opts = [[(r.randrange(1, 50), demand(), {}) for _ in range(r.randrange(0, 5))], [(r.randrange(1, 50), {}, demand()) for _ in range(r.randrange(0, 5))], [(r.randrange(1, 50), {}, {}) for _ in range(r.randrange(0, 3))]]
 
         def total(pick):
-            v = {k: opts[k][i][2] for k, i in enumerate(pick) if i >= 0}
-            if 0 in v and 1 in v and rules[0][4][v[0]["a"]] != v[1]["b"]:
+            wants, offers = (opts[0][pick[0]][1] if pick[0] >= 0 else {}), (opts[1][pick[1]][2] if pick[1] >= 0 else {})
+            if 0 in wants and 0 in offers and wants[0] != offers[0]:
                 return -1
             return sum(opts[k][i][0] for k, i in enumerate(pick) if i >= 0)
 
         best = max(total(p) for p in itertools.product(*[range(-1, len(o)) for o in opts]))
-        assert total(survivor._search(opts, rules)) == best
+        assert total(survivor._search(opts)) == best
+
+
+def test_dependency_between_bundles_overrules_the_most_trusted_option(spark):
+    """Shop A's rows lie in Vigo; the most trusted place, Lugo, belongs to shop B, so the two tops cannot survive together."""
+    rows = [(1, 1, "A", "Vigo", 5.0, 1.0), (1, 2, "A", "Vigo", 5.0, 2.0), (1, 3, "B", "Lugo", 4.0, 9.0), (2, 4, "C", None, 1.0, None), (2, 5, None, "Lugo", None, 1.0)]
+    df = spark.createDataFrame(rows, "group_id long, id long, shop string, town string, ts double, tt double").withColumn("values", F.lit("clash"))
+    bundles = [survivor.Bundle("shop", ("shop",), F.col("ts")), survivor.Bundle("town", ("town",), F.col("tt"))]
+    rule = [survivor.Dependency(("shop", "shop"), ("town", "town"))]
+    got = lambda rules: {(r["group_id"], r["bundle"]): r["job_id"] for r in survivor.choose(df, bundles, rules).collect()}
+    free = {(1, "shop"): 1, (1, "town"): 3, (2, "shop"): 4, (2, "town"): 5}
+    assert got([]) == free
+    assert got(rule) == {**free, (1, "shop"): 3}  # 4 + 9 beats 5 + 2
+    inside = [survivor.Bundle("place", ("town", "shop"), F.col("tt"))]
+    odd = df.unionByName(spark.createDataFrame([(1, 9, "A", "Lugo", 0.0, 99.0)], "group_id long, id long, shop string, town string, ts double, tt double").withColumn("values", F.lit("x")))
+    within = survivor.choose(odd, inside, [survivor.Dependency(("place", "shop"), ("place", "town"))])
+    assert {(r["group_id"], r["job_id"]) for r in within.collect()} == {(1, 3), (2, 5)}  # row 9 breaks shop A -> Vigo
 
 
 def test_forms_read_the_same(spark):
@@ -121,6 +137,18 @@ def test_forms_read_the_same(spark):
     assert lookalike.same_to_the_eye(docs.limit(0)).count() == 0
 
 
+def test_scripts_of_their_own_and_composed_letters(spark):
+    """Hangul and its letters agree, three marks compose, a Russian word stays Russian, a Latin one is made Latin."""
+    rows = [(1, "\uac00\uac01"), (2, "\u1100\u1161\u1100\u1161\u11a8"), (3, "\u1f87"), (4, "\u03b1\u0345\u0314\u0301"), (5, "\u1f85"), (6, "сосна"), (7, "cocnа"), (8, "с\u00adосна\u200b"), (9, "mоrа"), (10, "mora")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    form = {r["doc_id"]: r["form"] for r in lookalike.canonical_form(df).collect()}
+    assert form[1] == form[2] == "\uac00\uac01"
+    assert form[4] == form[5] == "\u1f85" != form[3]
+    assert form[6] == form[8] == "сосна" != form[7] and form[9] == form[10] == "mora"
+    got = {(r["doc_id"], r["class_id"], r["texts"]) for r in lookalike.variant_classes(df.unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(11).cast("long")))).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (11, 1, 2), (4, 4, 2), (5, 4, 2), (6, 6, 2), (8, 6, 2), (9, 9, 2), (10, 9, 2)}
+
+
 def test_form_of_a_form_is_itself(spark):
     r = random.Random(9)
     chars = "aeiоcр 　 áñ́̃ﬁ①㎞中⼈ｱ，,\n"
