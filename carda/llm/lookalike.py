@@ -1,7 +1,7 @@
 """One consistent form for texts that read the same.
 
 One scan settles every text whose code points are all stable already. Any other text is exploded into positioned
-clusters, a code point with the marks on it. Single code points are joined with a broadcast table of decompositions and
+words, and words with unstable code points into clusters, a code point with the marks on it. Single code points are joined with a broadcast table of decompositions and
 look-alikes; the few distinct clusters that hold marks are exploded to their code points, decomposed by the same table,
 their marks put in canonical order, and recomposed. Then the strings are rebuilt in order.
 
@@ -123,14 +123,15 @@ def _rebuilt(rest: DataFrame, look_from: str = LOOKALIKE_FROM, look_to: str = LO
     seen = F.regexp_replace("n", f"[{INVISIBLE}]", "")
     plain = "".join(c for c in look_from if c.isalpha())
     foldable = lambda w: ~w.rlike(f"[{_OTHER_SCRIPT}&&[^{plain}]]")
-    # a word is judged and cut into clusters before it is exploded, once
-    cut_word = lambda w: F.struct(foldable(w).alias("fold"), F.regexp_extract_all(w, F.lit(f"({_CLUSTER})"), 1).alias("clusters"))
+    # a word is judged and cut into clusters before it is exploded, once; a stable word stays whole
+    loose = lambda w: w.rlike(f"[^{_STABLE}]")
+    cut_word = lambda w: F.struct(loose(w).alias("loose"), foldable(w).alias("fold"), F.when(loose(w), F.regexp_extract_all(w, F.lit(f"({_CLUSTER})"), 1)).otherwise(F.array(w)).alias("clusters"))
     words = rest.select("th", F.posexplode(F.transform(F.regexp_extract_all(seen, F.lit(f"({_WORD})"), 1), cut_word)).alias("w", "x"))
-    pieces = words.select("th", "w", "x.fold", F.posexplode("x.clusters").alias("p", "cluster"))
+    pieces = words.select("th", "w", "x.loose", "x.fold", F.posexplode("x.clusters").alias("p", "cluster"))
     # look-alikes: the letter itself or the base of a cluster
-    pieces = pieces.withColumn("ch", F.substring("cluster", 1, 1)).join(look_df, "ch", "left")
-    pieces = pieces.select("th", "w", "p", F.when(F.col("fold") & F.col("latin").isNotNull(), F.concat("latin", F.expr("substring(cluster, 2)"))).otherwise(F.col("cluster")).alias("cluster"))
-    marked = F.length("cluster") > 1
+    pieces = pieces.withColumn("ch", F.when(F.col("loose"), F.substring("cluster", 1, 1))).join(look_df, "ch", "left")
+    pieces = pieces.select("th", "w", "p", "loose", F.when(F.col("fold") & F.col("latin").isNotNull(), F.concat("latin", F.expr("substring(cluster, 2)"))).otherwise(F.col("cluster")).alias("cluster"))
+    marked = F.col("loose") & (F.length("cluster") > 1)
     composed = _composed(pieces.where(marked).select("cluster").distinct(), map_df, mark_df, pair_df)
     x = pieces.join(map_df, (F.col("cluster") == F.col("ch")), "left").select("th", "w", "p", "cluster", "alone")
     x = x.join(composed, "cluster", "left").select("th", "w", "p", F.coalesce("whole", "alone", "cluster").alias("s"))
