@@ -5,7 +5,7 @@ few measures; the recurrent labeller reads the sequence in both directions and d
 document in view. The weights in ``blocks_model.npz`` are fitted by ``carda.llm.blocks_training``.
 
 Defined cases: null, empty and tag-only pages have no blocks; a page of any length is one sequence; blocks whose text
-is empty after removing white space do not exist; equal blocks of a page give one row; repeated page ids are
+is empty after removing white space do not exist; repeated page ids are
 labelled each on its own; empty tables give empty results; extra columns are ignored.
 """
 
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -40,7 +42,6 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
-_path_hash = lru_cache(maxsize=65536)(_hash)
 _word_hash = lru_cache(maxsize=262144)(_hash)
 
 
@@ -111,39 +112,42 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=65536)
+def _path_buckets(path: tuple[str, ...]) -> tuple[int, int, int]:
+    return (_hash(">".join(path)) % PATH_BUCKETS, _hash(">".join(path[-2:])) % PATH_BUCKETS, _hash("1" + ">".join(x.partition(".")[0] for x in path)) % PATH_BUCKETS)
+
+
+def _words_of(text: str) -> tuple[np.ndarray, float, float, float, float]:
+    """Word and bigram buckets of a block, and its measures: size, stops, full stop at the end, share of digits."""
+    low = text.lower()
+    toks, digits = _WORD.findall(low), 0
+    for i, x in enumerate(toks):
+        if x[0].isdigit():
+            digits += len(x)
+            toks[i] = "0"
+    grams = [_word_hash(x) % WORD_BUCKETS for x in toks]
+    grams += [_word_hash(x + "_" + y) % WORD_BUCKETS for x, y in zip(toks, toks[1:])]
+    size = len(low.strip())
+    stops = sum(map(low.count, "。.，,;；"))
+    return np.asarray(grams or [0], np.int32), math.log1p(size) / 6.0, min(1.0, stops / 8.0), float(low.rstrip().endswith(("。", ".", "！", "!"))), min(1.0, digits / max(1, size))
+
+
+#: The furniture of a site is the same on every page.
+_short_words = lru_cache(maxsize=65536)(_words_of)
+
+
 def features(blocks: list[Block]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Path buckets (n, 3), word buckets per block, and measures (n, MEASURES)."""
     n = len(blocks)
-    paths = np.zeros((n, 3), np.int32)
+    seen = Counter(b.path for b in blocks)
     words: list[np.ndarray] = []
-    meas = np.zeros((n, MEASURES), np.float32)
-    labels = [">".join(b.path) for b in blocks]
-    seen: dict[str, int] = {}
-    for p in labels:
-        seen[p] = seen.get(p, 0) + 1
+    rows: list[tuple[float, ...]] = []
     for i, b in enumerate(blocks):
-        paths[i] = (_path_hash(labels[i]) % PATH_BUCKETS, _path_hash(">".join(b.path[-2:])) % PATH_BUCKETS, _path_hash("1" + ">".join(x.partition(".")[0] for x in b.path)) % PATH_BUCKETS)
-        low = b.text.lower()
-        toks = _WORD.findall(low)
-        toks = ["0" if x[0].isdigit() else x for x in toks]
-        grams = [_word_hash(x) % WORD_BUCKETS for x in toks]
-        grams += [_word_hash(x + "_" + y) % WORD_BUCKETS for x, y in zip(toks, toks[1:])]
-        words.append(np.asarray(grams or [0], np.int32))
-        size = len(low.strip())
-        stops = sum(low.count(c) for c in "。.，,;；")
-        meas[i] = (
-            np.log1p(size) / 6.0,
-            b.linked,
-            i / max(1, n - 1),
-            float(b.hidden),
-            min(1.0, stops / 8.0),
-            float(low.rstrip().endswith(("。", ".", "！", "!"))),
-            min(1.0, sum(ch.isdigit() for ch in low) / max(1, size)),
-            min(1.0, b.depth / 12.0),
-            min(1.0, seen[labels[i]] / 12.0),
-            1.0,
-        )
-    return paths, words, meas
+        grams, size, stops, ended, digits = (_short_words if len(b.text) <= 120 else _words_of)(b.text)
+        words.append(grams)
+        rows.append((size, b.linked, i / max(1, n - 1), float(b.hidden), stops, ended, digits, min(1.0, b.depth / 12.0), min(1.0, seen[b.path] / 12.0), 1.0))
+    paths = np.array([_path_buckets(b.path) for b in blocks], np.int32).reshape(n, 3)
+    return paths, words, np.array(rows, np.float32).reshape(n, MEASURES)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -238,8 +242,8 @@ def block_md5(squeezed: str) -> str:
     return hashlib.md5(squeezed.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def main_blocks(pages: DataFrame, key: str = "id", markup: str = "raw_html", threshold: float = 0.5) -> DataFrame:
-    """(page_id, pos, block_md5, text): the blocks of each page's main body, in order."""
+def main_blocks(pages: DataFrame, key: str = "id", markup: str = "raw_html", threshold: float = 0.5, once: bool = False) -> DataFrame:
+    """(page_id, pos, block_md5, text): the blocks of each page's main body, in order; equal ones once a page if ``once``."""
     model = pages.sparkSession.sparkContext.broadcast(load_model())  # a fixed few hundred kB
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,8 +254,10 @@ def main_blocks(pages: DataFrame, key: str = "id", markup: str = "raw_html", thr
                 blocks = [leaf_blocks(h) for h in part["markup"]]
                 probs = predict(model.value, [features(b) for b in blocks])
                 for page, bs, ps in zip(part["page_id"], blocks, probs):
+                    seen: set[str] = set()
                     for k, (b, p) in enumerate(zip(bs, ps)):
-                        if p >= threshold and not b.hidden and (s := b.squeezed):
+                        if p >= threshold and not b.hidden and (s := b.squeezed) and not (once and s in seen):
+                            seen.add(s)
                             rows.append((page, k, block_md5(s), b.text.strip()))
             yield pd.DataFrame(rows, columns=["page_id", "pos", "block_md5", "text"])
 

@@ -2,8 +2,8 @@
 
 Documents are cut into passages; passages and items become TF-IDF vectors over hashed character and word grams. A
 randomised SVD, computed distributedly over the passages, gives a latent space; every passage's cosine to every item
-proposes candidates, and a longest-common-subsequence check of the item's wording in the document decides. The item
-list is fixed and small; documents are only ever seen passage by passage.
+proposes candidates, and a longest-common-subsequence check of the item's wording in the document decides. Items are
+the stated query set: they are held against all passages in blocks, block after block where there are many.
 
 Defined cases: null and empty documents leak nothing; empty items are never found; a document of any length is cut
 into overlapping passages and checked whole; an item repeated in the list is reported under each id; a document that
@@ -31,7 +31,8 @@ PASSAGE, STRIDE = 64, 48
 COSINE, SHARE = 0.30, 0.5
 #: Share from which wording alone decides.
 CLEAR = 0.62
-MAX_ITEMS = 20_000
+#: Items held against the corpus at a time.
+ITEM_BLOCK = 5_000
 _BLOCK = 256
 
 _HAN_FOLD = str.maketrans(TRADITIONAL, SIMPLIFIED)
@@ -59,14 +60,23 @@ def _fold(t: str | None) -> str:
     return t.translate(_LOOK).translate(_HAN_FOLD) if _FOLDABLE.search(t) else t
 
 
+def _kinds() -> np.ndarray:
+    """1 for Han characters and kana, 2 for Latin letters, 3 for digits, by code point."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[0x3400:0xA000] = kind[0x3040:0x3100] = 1
+    kind[97:123] = 2
+    kind[48:58] = 3
+    return kind
+
+
+_KIND = _kinds()
+
+
 def word_codes(texts: list[str | None]) -> list[np.ndarray]:
     """The words of each text as codes, in order: Han characters, runs of Latin letters and runs of digits."""
     joined = "\n".join(_fold(t).replace("\n", " ") for t in texts) + "\n"
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    kind = np.zeros(len(cp), np.uint8)
-    kind[((cp >= 0x3400) & (cp <= 0x9FFF)) | ((cp >= 0x3040) & (cp <= 0x30FF))] = 1
-    kind[(cp >= 97) & (cp <= 122)] = 2
-    kind[(cp >= 48) & (cp <= 57)] = 3
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _KIND[cp]
     first = kind > 0
     first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 1)
     at = np.flatnonzero(first)
@@ -74,7 +84,7 @@ def word_codes(texts: list[str | None]) -> list[np.ndarray]:
         return [np.empty(0, np.int64) for _ in texts]
     inside = np.flatnonzero(kind)
     word = (np.cumsum(first) - 1)[inside]
-    h = np.add.reduceat((cp[inside] + np.uint64(1)) * _POWERS[(inside - at[word]) & 63], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+    h = np.add.reduceat((cp[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[(inside - at[word]) & 63], np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
     h ^= h >> np.uint64(31)
     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     code = h.astype(np.int64)
@@ -155,15 +165,16 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def latent_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Right singular space of the TF-IDF passages by a randomised range finder: Y = A'(A W), one pass, then QR.
+    """A basis of the right singular space of the TF-IDF passages A, by a randomised range finder, and of the items.
 
-    The sketch starts from the items' own vectors beside random ones, so that directions the items use are kept
-    however rare they are in the corpus.
+    Y = A'(A W) is summed over all passages; its leading left singular vectors span the corpus's directions. Cosines
+    inside a span do not depend on how it is turned, so the singular vectors themselves need no second pass. What the
+    items' vectors have outside that span is added, so that wording rare in the corpus is kept.
     """
     rng = np.random.default_rng(seed)
-    start = rng.normal(0, 1, (TERMS, RANK + OVER)).astype(np.float32)
+    start = rng.normal(0, 1, (TERMS, RANK // 2 + OVER)).astype(np.float32)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((idf, start))  # TERMS x (RANK + OVER) floats, fixed
+    shared = spark.sparkContext.broadcast((idf, start))  # a fixed number of floats
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf_, w = shared.value
@@ -217,6 +228,11 @@ def _answers(ws: list[int]) -> set[int]:
     return {w for w in ws if w & NUMBER}
 
 
+def may_hold(item: list[int], words: set[int]) -> bool:
+    """Whether enough of the item's words occur in the document at all: no subsequence is longer than that."""
+    return sum(map(words.__contains__, item)) > SHARE * len(item)
+
+
 def holds_item(item: list[int], doc: list[int]) -> bool:
     """Whether the document holds more than half of the item's wording in its order.
 
@@ -238,41 +254,51 @@ def holds_item(item: list[int], doc: list[int]) -> bool:
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id): documents that hold more than half of an item's wording in its order."""
-    given = items.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
-    if len(given) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items; split the list")
+    given = items.select("item_id", "text").collect()  # the stated query set
     listed = [(r["item_id"], w) for r, w in zip(given, word_codes([r["text"] for r in given])) if len(w)]
     src = docs.select(F.col(key).alias("doc_id"), F.col("text"))
-    schema = "doc_id long, item_id long"
     if not listed:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
     df, n = document_frequencies(src)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1e-3
+    out = None
+    for at in range(0, len(listed), ITEM_BLOCK):
+        part = _search_block(src, listed[at : at + ITEM_BLOCK], idf)
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _search_block(src: DataFrame, listed: list[tuple[int, np.ndarray]], idf: np.ndarray) -> DataFrame:
+    """(doc_id, item_id) of one block of items against all documents."""
     item_words = [w for _, w in listed]
     # long items are retrieved by their own passages
     pieces = [(k, p) for k, w in enumerate(item_words) for _, p in passages(w)]
     basis = latent_basis(src, [p for _, p in pieces], idf)
     item_vecs = _project([p for _, p in pieces], idf, basis)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, basis, item_vecs, [k for k, _ in pieces], [(i, w.tolist()) for i, w in listed]))
+    shared = src.sparkSession.sparkContext.broadcast((idf, basis, item_vecs, [k for k, _ in pieces], [(i, w.tolist()) for i, w in listed]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf_, basis_, vecs, owner, its = shared.value
+        owner = np.asarray(owner)
         for pdf in batches:
             found: set[tuple[int, int]] = set()
-            tried: set[tuple[int, int]] = set()
             texts = word_codes(pdf["text"].tolist())
-            where = [(d, at, p) for d, ws in enumerate(texts) for at, p in passages(ws)]
+            where = [(d, p) for d, ws in enumerate(texts) for _, p in passages(ws)]
+            doc = np.array([d for d, _ in where], np.int64)
             ids = pdf["doc_id"].tolist()
+            near: list[np.ndarray] = []
             for lo in range(0, len(where), 2048):
-                part = where[lo : lo + 2048]
-                cos = _project([p for *_, p in part], idf_, basis_) @ vecs.T
-                for i, j in zip(*np.nonzero(cos >= COSINE)):
-                    d = part[i][0]
-                    item_id, item = its[owner[j]]
-                    if (d, item_id) not in tried:
-                        tried.add((d, item_id))
-                        if holds_item(item, texts[d].tolist()):
-                            found.add((ids[d], item_id))
+                cos = _project([p for _, p in where[lo : lo + 2048]], idf_, basis_) @ vecs.T
+                i, j = np.nonzero(cos >= COSINE)
+                near.append(doc[lo + i] * len(its) + owner[j])
+            last, words, bag = -1, [], set()
+            for code in np.unique(np.concatenate(near)).tolist() if near else []:
+                d, k = divmod(code, len(its))
+                if d != last:
+                    last, words = d, texts[d].tolist()
+                    bag = set(words)
+                if may_hold(its[k][1], bag) and holds_item(its[k][1], words):
+                    found.add((ids[d], its[k][0]))
             yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"])
 
-    return src.where("text is not null").mapInPandas(search, schema).distinct()
+    return src.where("text is not null").mapInPandas(search, "doc_id long, item_id long")

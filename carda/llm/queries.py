@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carda.session import table, wide_table
+from carda.session import cut, sized_broadcast, table, wide_table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,9 +61,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from carda.llm.blocks import main_blocks
     from carda.llm.mojibake import find_garbled, listing_texts
 
-    pages = wide_table(spark, d, "raw_pages").where("http_status = 200").select("id", "source_site", "raw_html")
-    garbled = find_garbled(listing_texts(wide_table(spark, d, "raw_pages"), None)).select(F.col("row_id").alias("id"))
-    return main_blocks(pages.join(garbled, "id", "left_anti")).select("page_id", "block_md5").distinct()
+    pages = wide_table(spark, d, "raw_pages").where("http_status = 200").select("id", "raw_html")
+    garbled = cut(find_garbled(listing_texts(wide_table(spark, d, "raw_pages"), None)).select(F.col("row_id").alias("page_id")))
+    # pages are labelled where they lie; only their blocks, a hundredth of the markup, meet the garbled pages
+    blocks = main_blocks(pages, once=True).select("page_id", "block_md5").distinct()
+    return blocks.join(sized_broadcast(garbled, garbled.count()), "page_id", "left_anti")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
