@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters and digits that are not easily taken for one another.
-ALPHABET = "ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
+#: Upper-case letters, lower-case letters and digits, without those easily taken for one another: i, l, o, 0 and 1.
+ALPHABET = "".join(c for c in string.ascii_uppercase + string.ascii_lowercase + string.digits if c.lower() not in "ilo01")
 
 
 def public_code(key: Column, salt: str, n: int = 10) -> Column:
@@ -23,3 +25,11 @@ def dup_rate(dup: Column, new: Column) -> Column:
 
 def clamp(c: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def labels(c: Column, names: dict[int, str], other: str = "") -> Column:
+    """The label of a code; ``other`` for codes without one."""
+    out = F.lit(other)
+    for code, name in names.items():
+        out = F.when(c == code, F.lit(name)).otherwise(out)
+    return out

@@ -49,14 +49,28 @@ def ip_text(packed: Column) -> Column:
 
 
 def ip_pack(text: Column) -> Column:
-    """Packed bytes of an IPv4 address; four zero bytes where it does not parse."""
+    """Packed bytes of an IPv4 or IPv6 address; four zero bytes where it does not parse."""
     part = F.split(text, r"\.")
-    num = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("int") if hasattr(Column, "try_cast") else F.try_element_at(part, F.lit(i + 1)).cast("int")
-    ok = text.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")
+    num = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("int")
+    v4 = text.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$")
     for i in range(4):
-        ok = ok & (num(i) <= 255)
-    return F.unhex(F.when(ok, F.concat(*[F.lpad(F.hex(num(i)), 2, "0") for i in range(4)])).otherwise(F.lit("00000000")))
+        v4 = v4 & (num(i) <= 255)
+    # groups before and after a double colon, which stands for the zeros between them
+    halves = F.split(text, "::")
+    groups = lambda i: F.filter(F.split(F.coalesce(F.try_element_at(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    head, tail = groups(1), groups(2)
+    given = F.size(head) + F.size(tail)
+    shape = text.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$") & (F.length(text) > 0)
+    v6 = shape & F.when(F.size(halves) == 2, given < 8).otherwise(given == 8)
+    wide = lambda xs: F.array_join(F.transform(xs, lambda g: F.lpad(g, 4, "0")), "")
+    full = F.concat(wide(head), F.repeat(F.lit("0000"), F.greatest(F.lit(0), F.lit(8) - given)), wide(tail))
+    return F.unhex(F.when(v4, F.concat(*[F.lpad(F.hex(num(i)), 2, "0") for i in range(4)])).when(v6, full).otherwise(F.lit("00000000")))
 
 
 def forwarded_ip(header: Column, peer: Column, trusted: bool) -> Column:
     return F.coalesce(F.nullif(F.trim(F.split(header, ",")[0]), F.lit("")), peer) if trusted else peer
+
+
+def safe_back(path: Column, default: str = "/") -> Column:
+    """A path of this site to go back to: one leading slash, no second one, no backslash; else ``default``."""
+    return F.when(path.rlike(r"^/(?!/)") & ~path.contains("\\"), path).otherwise(F.lit(default))

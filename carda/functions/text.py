@@ -55,7 +55,7 @@ def text_normalize(c: Column) -> Column:
                 ),
             ),
         ).otherwise(c)
-    c = F.regexp_replace(F.lower(F.translate(c, _WIDE + _KANA_FROM, _NARROW + _KANA_TO)), _STRIP, "")
+    c = F.regexp_replace(F.lower(F.translate(c, _WIDE + _KANA_FROM + "Σ", _NARROW + _KANA_TO + "σ")), _STRIP, "")
     return c
 
 
@@ -66,7 +66,8 @@ def normalize_py(s: str | None) -> str:
     for half, full in _VOICED.items():
         if half in s:
             s = s.replace(half, full)
-    return _NOT_WORD.sub("", s.translate(_NARROW_MAP).lower())
+    # a capital sigma has one small form, wherever it stands
+    return _NOT_WORD.sub("", s.translate(_NARROW_MAP).replace("Σ", "σ").lower())
 
 
 _NOT_WORD = re.compile(r"[\W_]+")

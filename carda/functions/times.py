@@ -53,3 +53,8 @@ def top_days_left(is_top: Column, expires: Column, as_of: Column) -> Column:
 def midnight_madrid_utc(as_of: Column) -> Column:
     """The last Madrid midnight before ``as_of``, in UTC."""
     return F.convert_timezone(F.lit("Europe/Madrid"), F.lit("UTC"), F.date_trunc("day", to_madrid(as_of)).cast("timestamp_ntz"))
+
+
+def purge_after(day: Column, days: int = 90) -> Column:
+    """The day from which a record collected on ``day`` may go."""
+    return F.date_add(day.cast("date"), days)

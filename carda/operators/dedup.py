@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from carda.functions.contact import phone_main
 from carda.functions.text import search_key
 from carda.operators.hamming import nearest
+from carda.session import cut
 
 
 @dataclass(frozen=True)
@@ -58,24 +59,36 @@ def phone_match(jobs: DataFrame, posts: DataFrame, min_length: int = 9) -> DataF
     return j.join(m, "p").select("id", "match_id")
 
 
+def _nearest_in_steps(probe: DataFrame, base: DataFrame, small: int, large: int, exclude: str | None = None) -> DataFrame:
+    """The nearest within ``large``: first within ``small``, which few keys settle, then farther for rows still open."""
+    near = cut(nearest(probe, base, min(small, large), exclude))
+    far = nearest(probe.join(near.select("id"), "id", "left_anti"), base, large, exclude)
+    return cut(near.unionByName(far))
+
+
 def judge(jobs: DataFrame, posts: DataFrame | None, mode: str = "rejudge", t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
     """One verdict per job: (id, status, confidence, import_ready, matched_against, matched_id, signal, hamming_dist, decision).
 
     ``rejudge`` compares with all other rows, ``online`` with lower ids only. The first rule that holds decides:
-    contact, fingerprint inside, review inside, phone outside, fingerprint outside, review outside, unique.
+    contact, fingerprint inside, review inside, phone outside, fingerprint outside, review outside, unique. A row an
+    earlier rule settles is not looked up for a later one.
     """
     other = "self" if mode == "rejudge" else "later"
     usable = F.col("simhash").isNotNull() & (F.col("simhash") != 0)
     has = F.col("contact_key").isNotNull() & (F.col("contact_key") != "")
     base = jobs.select("id", "simhash", has.alias("has_contact"))
     probe = jobs.where(usable).select("id", "simhash")
-    inside = nearest(probe, jobs.select("id", "simhash"), t.review, other).select("id", F.col("best_id").alias("in_id"), F.col("dist").alias("in_dist"))
-    contact = contact_match(jobs, other).withColumnRenamed("match_id", "contact_id")
+    contact = cut(contact_match(jobs, other).withColumnRenamed("match_id", "contact_id"))
+    steps = max(t.with_contact, t.without_contact), t.review
+    inside = _nearest_in_steps(probe.join(contact, "id", "left_anti"), jobs.select("id", "simhash"), *steps, other)
+    inside = inside.select("id", F.col("best_id").alias("in_id"), F.col("dist").alias("in_dist"))
     x = base.join(contact, "id", "left").join(inside, "id", "left")
     if posts is not None:
         live = posts.where("status in (0, 1)")
-        phone = phone_match(jobs, posts).withColumnRenamed("match_id", "phone_id")
-        outside = nearest(probe, live.select("id", "simhash"), t.review).select("id", F.col("best_id").alias("out_id"), F.col("dist").alias("out_dist"))
+        phone = cut(phone_match(jobs, posts).withColumnRenamed("match_id", "phone_id"))
+        settled = contact.select("id").unionByName(inside.select("id")).unionByName(phone.select("id")).distinct()
+        outside = _nearest_in_steps(probe.join(settled, "id", "left_anti"), live.select("id", "simhash"), *steps)
+        outside = outside.select("id", F.col("best_id").alias("out_id"), F.col("dist").alias("out_dist"))
         x = x.join(phone, "id", "left").join(outside, "id", "left")
     else:
         x = x.select("*", *[F.lit(None).cast(k).alias(n) for n, k in (("phone_id", "long"), ("out_id", "long"), ("out_dist", "int"))])
@@ -104,6 +117,12 @@ def judge(jobs: DataFrame, posts: DataFrame | None, mode: str = "rejudge", t: Th
     return out.withColumn("import_ready", ((F.col("status") == "unique") & (F.col("confidence") == "high")).cast("int"))
 
 
+def rejudge_scan(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The jobs a re-judgement takes: unique or under review, not imported, in id order, ``limit`` of them at a time."""
+    open_ = jobs.where("dedup_status in ('unique', 'review') and imported_at is null")
+    return open_ if limit is None else open_.orderBy("id").limit(limit)
+
+
 def log_rows(verdicts: DataFrame) -> DataFrame:
     """The log line of every verdict."""
     return verdicts.select(F.col("id").alias("job_id"), "matched_against", "matched_id", "signal", "hamming_dist", "decision")

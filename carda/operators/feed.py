@@ -36,9 +36,6 @@ def matching(posts: DataFrame, type: int | None = None, region: int | None = Non
     return posts
 
 
-_ORDER = [F.desc, F.desc, F.desc]
-
-
 def feed(posts: DataFrame, regions: DataFrame, categories: DataFrame, as_of: Column, type: int, limit: int = 60, guaranteed: int = 30, **filters) -> DataFrame:  # noqa: A002
     """Online posts, pinned first, then newest; unfiltered feeds short of ``guaranteed`` are filled with expired posts."""
     shown = matching(with_dimensions(housekeeping(posts, as_of), regions, categories), type=type, **filters)
@@ -96,3 +93,30 @@ def region_tree(regions: DataFrame) -> DataFrame:
     """(city_id, districts): the district names of each city in their order."""
     d = regions.where("parent_id <> 0").groupBy(F.col("parent_id").alias("city_id")).agg(F.array_sort(F.collect_list(F.struct("sort", "id", "name"))).alias("x"))
     return d.select("city_id", F.array_join(F.transform("x", lambda v: v["name"]), ",").alias("districts"))
+
+
+def admin_posts(posts: DataFrame, type: int | None = None, status: int | None = None, suspicious: bool = False, text: str | None = None, columns: tuple[str, ...] = ("content", "contact_name", "phone")) -> DataFrame:  # noqa: A002
+    """Posts by any of type, status, suspicion and a text in one of several columns; an absent filter is no predicate."""
+    if type is not None:
+        posts = posts.where(F.col("type") == type)
+    if status is not None:
+        posts = posts.where(F.col("status") == status)
+    if suspicious:
+        posts = posts.where("suspicious = 1")
+    if text:
+        hit = F.lit(False)
+        for c in columns:
+            hit = hit | F.coalesce(like_any_case(F.col(c), text), F.lit(False))
+        posts = posts.where(hit)
+    return posts
+
+
+def shown_facets(facets: DataFrame, key: str, n: str = "n", selected: object = None) -> DataFrame:
+    """Facets that have posts, and the selected one."""
+    return facets.where((F.col(n) > 0) | (F.col(key) == F.lit(selected) if selected is not None else F.lit(False)))
+
+
+def post_by_code(posts: DataFrame, codes: DataFrame, regions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Visible posts of the given public codes with their dimensions' names."""
+    hit = posts.where("status in (0, 1)").join(codes.select("public_code").distinct(), "public_code", "left_semi")
+    return with_dimensions(hit, regions, categories)

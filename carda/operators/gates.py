@@ -9,30 +9,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fold(events: DataFrame, keys: list[str], ts: str, step) -> DataFrame:
-    """events with ``accepted``, decided by ``step(times) -> list[bool]`` over each key's events in order.
+def _stretches(x: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """``x`` with ``_from``: where its key's stretch of events begins. Between stretches lie more than ``gap`` microseconds
+    without an event, so no state crosses them and each is folded on its own, however many events the key has.
 
-    Keys are hash-partitioned and sorted; a partition is streamed key by key in Arrow batches, so a key with a third of
-    all events is held only as its gate's state, never as a group.
+    Time is cut into bins as long as the gap; only the distinct bins of a key are put in order.
+    """
+    x = x.withColumn("_bin", F.floor(F.col("us") / gap))
+    bins = x.select(*keys, "_bin").distinct()
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    first = F.when(F.coalesce(F.col("_bin") - F.lag("_bin").over(w) > 1, F.lit(True)), F.col("_bin"))
+    starts = bins.withColumn("_first", first).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_b"), F.max("_first").over(w).alias("_from"))
+    same = F.col("_bin") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return x.join(starts, same).drop("_bin", "_b", *[f"_k_{k}" for k in keys])
+
+
+def _fold(events: DataFrame, keys: list[str], ts: str, step, start, gap: int, extra: list[str] = [], kind: str = "accepted boolean") -> DataFrame:  # noqa: B006
+    """(event_id, outcome), decided by ``step(state, us, *extra) -> (outcome, state)`` over each key's events in order.
+
+    A state older than ``gap`` microseconds must equal ``start``. Keys are cut into independent stretches, hash-partitioned
+    and sorted; a partition is streamed in Arrow batches and only the gate's state is held, never a group.
     """
     # timestamps travel as microseconds, ties are broken by event_id
-    names = [*keys, "event_id", "us"]
-    x = events.select(*keys, "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
-    kinds = dict(x.dtypes)
+    # keys as text: a null key is one key
+    x = events.select(*[F.col(k).cast("string").alias(k) for k in keys], "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *extra)
+    x = _stretches(x, keys, gap)
+    by = [*keys, "_from"]
+    x = x.repartition(*by).sortWithinPartitions(*by, "us", "event_id")
+    name = kind.split(" ")[0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state = None, start
         for pdf in batches:
-            flags = []
-            for row in zip(*(pdf[k] for k in [*keys, "us"])):
-                if row[:-1] != current:
-                    current, state = row[:-1], step(None, None)
-                ok, state = step(state, int(row[-1]))
-                flags.append(ok)
-            yield pdf[["event_id"]].assign(accepted=flags)
+            out = []
+            for row in zip(*(pdf[k] for k in [*by, "us", *extra])):
+                if row[: len(by)] != current:
+                    current, state = row[: len(by)], start
+                done, state = step(state, *row[len(by) :])
+                out.append(done)
+            yield pdf[["event_id"]].assign(**{name: out})
 
-    del names
-    return x.mapInPandas(run, f"event_id {kinds['event_id']}, accepted boolean")
+    return x.mapInPandas(run, f"event_id {dict(x.dtypes)['event_id']}, {kind}")
 
 
 def throttle(events: DataFrame, keys: list[str], seconds: int, ts: str = "ts") -> DataFrame:
@@ -40,12 +59,10 @@ def throttle(events: DataFrame, keys: list[str], seconds: int, ts: str = "ts") -
     gap = seconds * 1_000_000
 
     def step(state, us):
-        if us is None:
-            return None
         ok = state is None or us - state >= gap
         return ok, us if ok else state
 
-    return _fold(events, keys, ts, step)
+    return _fold(events, keys, ts, step, None, gap)
 
 
 def rate_limit(events: DataFrame, keys: list[str], seconds: int, n: int, ts: str = "ts") -> DataFrame:
@@ -53,13 +70,28 @@ def rate_limit(events: DataFrame, keys: list[str], seconds: int, n: int, ts: str
     gap = seconds * 1_000_000
 
     def step(state, us):
-        if us is None:
-            return ()
         kept = tuple(t for t in state if t > us - gap)
         ok = len(kept) < n
         return ok, (*kept, us) if ok else kept
 
-    return _fold(events, keys, ts, step)
+    return _fold(events, keys, ts, step, (), gap)
+
+
+def reveal(requests: DataFrame, viewer: str, item: str, seconds: int, n: int, ts: str = "ts") -> DataFrame:
+    """(event_id, outcome) of requests to see a contact: ``rate`` where the viewer was counted ``n`` times in the last
+    ``seconds``, else ``seen`` where it was for this item, else ``counted``. Only counted requests are logged; the limit is
+    asked before the throttle. The state holds at most n times."""
+    gap = seconds * 1_000_000
+
+    def step(state, us, what):
+        kept = tuple(x for x in state if x[0] > us - gap)
+        if len(kept) >= n:
+            return "rate", kept
+        if any(w == what for _, w in kept):
+            return "seen", kept
+        return "counted", (*kept, (us, what))
+
+    return _fold(requests.withColumn("_item", F.col(item).cast("string")), [viewer], ts, step, (), gap, ["_item"], "outcome string")
 
 
 def alert_merge(events: DataFrame, key: str, minutes: int, ts: str = "ts") -> DataFrame:
@@ -87,11 +119,40 @@ def layout_alert(events: DataFrame, key: str, empty: str, min_new: int, ratio: f
     return x.where((F.col("pos") >= min_new) & (F.col("n_empty") / F.col("pos") > ratio)).groupBy(key).agg(F.min("pos").alias("stop_pos"))
 
 
-def admit_slots(requests: DataFrame, ts: str, hold_seconds: int, limit: int) -> DataFrame:
-    """(event_id, accepted): a request is admitted while fewer than ``limit`` admitted ones are still held."""
-    return rate_limit(requests.withColumn("_all", F.lit(1)), ["_all"], hold_seconds, limit, ts)
+def admit_slots(requests: DataFrame, ts: str, hold: str, limit: int, longest: int) -> DataFrame:
+    """(event_id, accepted): a request is admitted while fewer than ``limit`` admitted ones are held, each for its own
+    ``hold`` seconds. No hold is longer than ``longest`` seconds; requests further apart are judged independently."""
 
+    def step(state, us, seconds):
+        held = tuple(t for t in state if t > us)
+        ok = len(held) < limit
+        return ok, (*held, us + int(seconds) * 1_000_000) if ok else held
 
-def trigger_gate(runs: DataFrame, key: str, min_seconds: int, floor: int = 3600, ts: str = "ts") -> DataFrame:
-    """(event_id, accepted): a trigger passes when the last passed one is at least max(floor, configured) seconds old."""
-    return throttle(runs, [key], max(floor, min_seconds), ts)
+    x = requests.withColumn("_all", F.lit(1)).withColumn("_hold", F.least(F.col(hold).cast("long"), F.lit(longest)))
+    return _fold(x, ["_all"], ts, step, (), longest * 1_000_000, ["_hold"])
+
+
+#: Seconds after which a run that never ended no longer counts as running, and between two runs at least.
+ZOMBIE, FLOOR, DEBUG_FLOOR = 6 * 3600, 3600, 10
+
+
+def trigger_gate(requests: DataFrame, key: str, interval: int, ts: str = "ts", force: str = "force", seconds: str = "run_seconds", debug: bool = False) -> DataFrame:
+    """(event_id, accepted): a run may start when none is running and the last start is an interval old; forced ones always.
+
+    The interval is the configured one, but at least an hour, or ten seconds when debugging. A run lasts ``run_seconds``;
+    one without is a zombie that counts as running for six hours.
+    """
+    wait = max(DEBUG_FLOOR if debug else FLOOR, interval) * 1_000_000
+    zombie = ZOMBIE * 1_000_000
+
+    def step(state, us, forced, lasts):
+        last, runs = state
+        runs = tuple(r for r in runs if r[0] > us - zombie and r[1] > us)
+        ok = bool(forced) or (not runs and (last is None or us - last >= wait))
+        if not ok:
+            return False, (last, runs)
+        end = us + int(lasts) * 1_000_000 if lasts == lasts and lasts is not None else 1 << 62
+        return True, (us, (*runs, (us, end)))
+
+    x = requests.withColumn("_force", F.coalesce(F.col(force), F.lit(False))).withColumn("_lasts", F.col(seconds).cast("double"))
+    return _fold(x, [key], ts, step, (None, ()), max(wait, zombie), ["_force", "_lasts"])

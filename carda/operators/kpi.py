@@ -40,3 +40,33 @@ def run_counters(jobs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def empty_share(rows: DataFrame, by: str, column: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("rows"), F.round(F.avg((F.col(column).isNull() | (F.col(column) == "")).cast("int")), 6).alias("empty_share"))
+
+
+def kpi_admin(posts: DataFrame, reports: DataFrame, marks: DataFrame, since: Column) -> DataFrame:
+    """One row over three tables: posts in all, online, new and suspicious ones, open reports, marks."""
+    p = posts.agg(F.count("*").alias("posts"), F.count_if(F.col("status") == 1).alias("online"), F.count_if(F.col("created_at") >= since).alias("new_posts"), F.count_if(F.col("suspicious") == 1).alias("suspicious"))
+    r = reports.agg(F.count_if(F.col("status") == 0).alias("open_reports"))
+    m = marks.agg(F.count("*").alias("marks"))
+    return p.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(m))  # single rows
+
+
+def next_sort(rows: DataFrame, below: int = 999) -> DataFrame:
+    """The highest sort position in use, positions kept for the end aside; 0 where there is none."""
+    return rows.where(F.col("sort") < below).agg(F.coalesce(F.max("sort"), F.lit(0)).alias("top_sort"))
+
+
+def report_list(reports: DataFrame, posts: DataFrame) -> DataFrame:
+    """Reports with the post each is about and how many its post has; only reports of posts that are there."""
+    n = reports.groupBy("post_id").agg(F.count("*").alias("of_post"))
+    p = posts.select(F.col("id").alias("post_id"), "public_code", F.col("status").alias("post_status"))
+    return reports.join(n, "post_id").join(p, "post_id")
+
+
+def all_but_last(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows other than the one with the highest key."""
+    top = rows.agg(F.max(key).alias("_top"))  # one row
+    return rows.crossJoin(F.broadcast(top)).where(F.col(key) != F.col("_top")).drop("_top")
+
+
+def pinned(posts: DataFrame, as_of: Column) -> DataFrame:
+    return posts.agg(F.count_if((F.col("is_top") == 1) & (F.col("top_expire_at") > as_of)).alias("pinned"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carda.functions.codes import public_code
 from carda.functions.contact import phone_main
 from carda.functions.text import build_content, content_hash, map_key, simhash64
+from carda.session import cut
 
 
 def upsert_latest(rows: DataFrame, key: list[str], order: list[str], keep_first: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
@@ -42,10 +43,15 @@ def resolve_names(jobs: DataFrame, regions: DataFrame, categories: DataFrame, de
     return x.drop("district_k", "city_k", "category_k", "district_rid", "city_rid", "category_rid")
 
 
+def import_ready(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Import-ready jobs not imported yet, in id order, ``limit`` of them a batch."""
+    ready = jobs.where("import_ready = 1 and imported_at is null")
+    return ready if limit is None else ready.orderBy("id").limit(limit)
+
+
 def import_rows(jobs: DataFrame, regions: DataFrame, categories: DataFrame, as_of: Column, batch: str, post_type: int = 1, poster_type: int = 1, default_region: int = 1, default_category: int = 1, fingerprint: bool = True) -> DataFrame:
     """Post rows of the import-ready jobs, with the job each comes from."""
-    ready = jobs.where("import_ready = 1 and imported_at is null")
-    x = resolve_names(ready, regions, categories, default_region, default_category)
+    x = resolve_names(import_ready(jobs), regions, categories, default_region, default_category)
     x = x.withColumn("content", build_content(F.col("title"), F.col("company"), F.col("salary_raw"), F.col("description")))
     cols = [
         F.col("id").alias("crawler_job_id"),
@@ -67,6 +73,30 @@ def import_rows(jobs: DataFrame, regions: DataFrame, categories: DataFrame, as_o
     return x.select(*cols, *([simhash64(F.col("content")).alias("simhash")] if fingerprint else []))
 
 
+def assign_ids(existing: DataFrame, incoming: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """Incoming rows with ids after the highest existing one, in order.
+
+    Rows are ranged into partitions and numbered inside each; only the partitions' sizes are added up, so nothing is
+    sorted in one task.
+    """
+    x = cut(incoming.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = x.groupBy("_p").agg(F.count("*").alias("n"))
+    offset = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_o"))  # a row a partition
+    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))  # one row
+    n = x.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(offset), "_p").crossJoin(F.broadcast(top))
+    return n.withColumn(key, F.col("_top") + F.col("_o") + F.col("_rn")).drop("_p", "_o", "_rn", "_top")
+
+
+def import_outputs(jobs: DataFrame, posts: DataFrame, ledger: DataFrame, regions: DataFrame, categories: DataFrame, as_of: Column, batch: str, limit: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an import writes: the new posts with their ids, the new ledger rows, and the jobs with imported ones stamped."""
+    new = assign_ids(posts, import_rows(import_ready(jobs, limit), regions, categories, as_of, batch), ["crawler_job_id"])
+    entries = assign_ids(ledger, new.select("crawler_job_id", F.col("id").alias("main_job_id")), ["crawler_job_id"])
+    entries = entries.select("id", "crawler_job_id", "main_job_id", F.lit(batch).alias("import_batch"), as_of.alias("imported_at"), F.lit(0).alias("purged"), F.lit(None).cast("timestamp_ntz").alias("purged_at"))
+    stamp = entries.select(F.col("crawler_job_id").alias("id"), F.col("imported_at").alias("_at"))
+    stamped = jobs.join(stamp, "id", "left").withColumn("imported_at", F.coalesce("_at", "imported_at")).select(*jobs.columns)
+    return new, entries, stamped
+
+
 def purge_report(ledger: DataFrame, posts: DataFrame, batch: str | None = None) -> DataFrame:
     """(map_id, main_job_id, outcome) of every open ledger row: deleted where a crawler post is there, else skipped."""
     open_rows = ledger.where("purged = 0")

@@ -73,11 +73,16 @@ def bigram_tf(spark, d):
     return t.select("id", F.explode("g").alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 
-_SIMHASH_SQL = f"""WITH t AS (SELECT id, {_NORM.format(c="trim(coalesce(title, '') || ' ' || coalesce(company, ''))")} AS s FROM jobs_clean),
-    g AS (SELECT id, unnest(CASE WHEN length(s) = 0 THEN []::VARCHAR[] WHEN length(s) = 1 THEN [s] ELSE [substring(s, i, 2) FOR i IN range(1, length(s))] END) AS gram FROM t),
-    c AS (SELECT id, ('0x' || substr(md5(gram), 1, 16))::UBIGINT AS h, count(*) AS tf FROM g GROUP BY id, gram),
-    b AS (SELECT id, {", ".join(f"(CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN tf ELSE -tf END) > 0 THEN 1 ELSE 0 END)::UBIGINT << {k} AS b{k}" for k in range(63))}, sum(CASE WHEN (h >> 63) & 1 = 1 THEN tf ELSE -tf END) > 0 AS top FROM c GROUP BY id)
-    SELECT t.id, coalesce(({" + ".join(f"b{k}::HUGEINT" for k in range(63))}) - (CASE WHEN top THEN 9223372036854775808::HUGEINT ELSE 0 END), 0)::BIGINT AS simhash FROM t LEFT JOIN b USING (id)"""
+def _simhash_sql(source: str, expr: str, key: str = "id", extra: str = "") -> str:
+    """SQL of the fingerprint of ``expr`` over the rows of ``source``."""
+    return f"""WITH t AS (SELECT {key}{extra}, {_NORM.format(c=expr)} AS s FROM {source}),
+    g AS (SELECT {key}, unnest(CASE WHEN length(s) = 0 THEN []::VARCHAR[] WHEN length(s) = 1 THEN [s] ELSE [substring(s, i, 2) FOR i IN range(1, length(s))] END) AS gram FROM t),
+    c AS (SELECT {key}, ('0x' || substr(md5(gram), 1, 16))::UBIGINT AS h, count(*) AS tf FROM g GROUP BY {key}, gram),
+    b AS (SELECT {key}, {", ".join(f"(CASE WHEN sum(CASE WHEN (h >> {k}) & 1 = 1 THEN tf ELSE -tf END) > 0 THEN 1 ELSE 0 END)::UBIGINT << {k} AS b{k}" for k in range(63))}, sum(CASE WHEN (h >> 63) & 1 = 1 THEN tf ELSE -tf END) > 0 AS top FROM c GROUP BY {key})
+    SELECT t.{key}{extra}, coalesce(({" + ".join(f"b{k}::HUGEINT" for k in range(63))}) - (CASE WHEN top THEN 9223372036854775808::HUGEINT ELSE 0 END), 0)::BIGINT AS simhash FROM t LEFT JOIN b USING ({key})"""
+
+
+_SIMHASH_SQL = _simhash_sql("jobs_clean", "trim(coalesce(title, '') || ' ' || coalesce(company, ''))")
 
 
 @query("simhash64", _SIMHASH_SQL)
@@ -86,7 +91,7 @@ def simhash64(spark, d):
     return table(spark, d, "jobs_clean").select("id", text.simhash64(F.trim(F.concat_ws(" ", F.coalesce("title", e), F.coalesce("company", e)))).alias("simhash"))
 
 
-@query("simhash_job")
+@query("simhash_job", _simhash_sql("jobs_clean", _TRIM.format(c="(coalesce(title, '') || ' ' || coalesce(company, '') || ' ' || coalesce(description, ''))")))
 def simhash_job(spark, d):
     return spread(table(spark, d, "jobs_clean").select("id", "title", "company", "description")).select("id", text.simhash_job(F.col("title"), F.col("company"), F.col("description")).alias("simhash"))
 
@@ -187,7 +192,7 @@ def region_labels(spark, d):
 
 # --- pages ------------------------------------------------------------------------------------------------------
 
-_ABS = """CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN regexp_matches(h, '^(?i)javascript:') OR starts_with(h, '#') THEN NULL WHEN sch = '' OR hst = '' THEN NULL
+_ABS = """CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^(?i)https?://') THEN h WHEN starts_with(h, 'javascript:') OR starts_with(h, '#') THEN NULL WHEN sch = '' OR hst = '' THEN NULL
     WHEN starts_with(h, '//') THEN sch || ':' || h WHEN starts_with(h, '/') THEN sch || '://' || hst || h ELSE sch || '://' || hst || CASE WHEN contains(pth, '/') THEN regexp_replace(pth, '/[^/]*$', '/') ELSE '/' END || h END"""
 
 
@@ -195,12 +200,12 @@ _ABS = """CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^(?i)https?://') TH
     "page_links",
     f"""WITH x AS (SELECT id AS page_id, source_url, regexp_extract_all(raw_html, '<a\\s+href=["'']([^"'']*)["'']', 1) AS l FROM raw_pages WHERE raw_html IS NOT NULL),
     y AS (SELECT page_id, source_url, unnest(l) AS h0, unnest(range(len(l))) AS p FROM x),
-    z AS (SELECT page_id, p, {_TRIM.format(c='h0')} AS h, regexp_extract(source_url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS sch, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) AS hst, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS pth FROM y),
+    z AS (SELECT page_id, p, {_TRIM.format(c="replace(h0, '&amp;', '&')")} AS h, regexp_extract(source_url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS sch, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) AS hst, regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS pth FROM y),
     u AS (SELECT page_id, p, {_ABS} AS url FROM z)
     SELECT page_id, min(p)::INT AS pos, url FROM u WHERE url IS NOT NULL GROUP BY page_id, url""",
 )
 def page_links(spark, d):
-    return parse.page_links(table(spark, d, "raw_pages"))
+    return parse.page_links(spread(table(spark, d, "raw_pages").select("id", "source_site", "source_url", "raw_html")), SITES)
 
 
 SITES = [
@@ -466,7 +471,10 @@ def import_batch(spark, d):
     return x.select("crawler_job_id", "content", "content_hash", "phone_norm", "region_id", "category_id")
 
 
-@query("import_fingerprints")
+_READY = f"(SELECT id AS crawler_job_id, {' || '.join(f"substr('{codes.ALPHABET}', {_BYTE(i)} % {len(codes.ALPHABET)} + 1, 1)" for i in range(10))} AS public_code, {_CONTENT_SQL} AS content FROM (SELECT id, sha256(id::VARCHAR || ':batch-1') AS h, {_BODY_SQL} AS body FROM jobs_clean WHERE import_ready = 1 AND imported_at IS NULL))"
+
+
+@query("import_fingerprints", _simhash_sql(_READY, "content", "crawler_job_id", ", public_code"))
 def import_fingerprints(spark, d):
     x = ledger.import_rows(table(spark, d, "jobs_clean"), table(spark, d, "regions"), table(spark, d, "categories"), _as_of(), "batch-1")
     return x.select("crawler_job_id", "public_code", "simhash")
@@ -497,7 +505,7 @@ def purge_all_guard(spark, d):
     return ledger.purge_allowed(table(spark, d, "import_map"))
 
 
-@query("simhash_backfill")
+@query("simhash_backfill", _simhash_sql("posts WHERE simhash IS NULL AND content IS NOT NULL", "content"))
 def simhash_backfill(spark, d):
     return ledger.backfill_simhash(table(spark, d, "posts"))
 
@@ -520,24 +528,71 @@ def first_in_line(spark, d):
 # --- gates over events ------------------------------------------------------------------------------------------
 
 
-@query("throttle_views")
+def _gate_sql(keys: str, start: str, state: str, accepted: str, where: str = "true", extra: str = "", out: str = "accepted") -> str:
+    """A gate as recursion over each key's events in order: ``state`` and ``accepted`` read r.state, e.ts and ``extra``."""
+    on = " AND ".join(f"e.{k} IS NOT DISTINCT FROM r.{k}" for k in keys.split(", "))
+    s0 = lambda x: x.replace("r.state", f"({start})")
+    cols = ", ".join(f"e.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE e AS (SELECT {keys}, event_id, ts{extra}, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS rn FROM events WHERE {where}),
+    r AS (SELECT {cols}, e.event_id, e.rn, {s0(state)} AS state, {s0(accepted)} AS {out} FROM e WHERE rn = 1
+    UNION ALL SELECT {cols}, e.event_id, e.rn, {state}, {accepted} FROM r JOIN e ON {on} AND e.rn = r.rn + 1) SELECT event_id, {out} FROM r"""
+
+
+_OPEN = "(r.state IS NULL OR e.ts >= r.state + INTERVAL {n} SECOND)"
+_LATELY = "list_filter(r.state, lambda t: t > e.ts - INTERVAL {n} SECOND)"
+
+
+@query("throttle_views", _gate_sql("user_id, event_type", "NULL::TIMESTAMP", f"CASE WHEN {_OPEN.format(n=3600)} THEN e.ts ELSE r.state END", _OPEN.format(n=3600)))
 def throttle_views(spark, d):
     return gates.throttle(table(spark, d, "events"), ["user_id", "event_type"], 3600)
 
 
-@query("rate_limit_reveals")
+@query("bump_gate", _gate_sql("user_id", "NULL::TIMESTAMP", f"CASE WHEN {_OPEN.format(n=86400)} THEN e.ts ELSE r.state END", _OPEN.format(n=86400), "event_type = 'purchase'"))
+def bump_gate(spark, d):
+    return gates.throttle(table(spark, d, "events").where("event_type = 'purchase'"), ["user_id"], 86400)
+
+
+@query("rate_limit_reveals", _gate_sql("user_id", "[]::TIMESTAMP[]", f"CASE WHEN len({_LATELY.format(n=86400)}) < 3 THEN list_append({_LATELY.format(n=86400)}, e.ts) ELSE {_LATELY.format(n=86400)} END", f"len({_LATELY.format(n=86400)}) < 3"))
 def rate_limit_reveals(spark, d):
     return gates.rate_limit(table(spark, d, "events"), ["user_id"], 86400, 3)
 
 
-@query("slot_admission")
+_LOG = "list_filter(r.state, lambda t: t.a > e.ts - INTERVAL 604800 SECOND)"
+_SEEN = f"len(list_filter({_LOG}, lambda t: t.b = e.event_type)) > 0"
+
+
+@query(
+    "reveal_contacts",
+    _gate_sql("user_id", "[]::STRUCT(a TIMESTAMP, b VARCHAR)[]", f"CASE WHEN len({_LOG}) < 3 AND NOT {_SEEN} THEN list_append({_LOG}, {{'a': e.ts, 'b': e.event_type}}) ELSE {_LOG} END", f"CASE WHEN len({_LOG}) >= 3 THEN 'rate' WHEN {_SEEN} THEN 'seen' ELSE 'counted' END", extra=", event_type", out="outcome"),
+)
+def reveal_contacts(spark, d):
+    return gates.reveal(table(spark, d, "events"), "user_id", "event_type", 604800, 3)
+
+
+_K = "coalesce(json_extract_string(props, '$.k')::BIGINT, 0)"
+_HELD = "list_filter(r.state, lambda t: t > e.ts)"
+
+
+@query("slot_admission", _gate_sql("one", "[]::TIMESTAMP[]", f"CASE WHEN len({_HELD}) < 5 THEN list_append({_HELD}, e.ts + to_seconds(e.hold)) ELSE {_HELD} END", f"len({_HELD}) < 5", extra=", hold").replace("FROM events WHERE true", f"FROM (SELECT *, 1 AS one, 3600 + {_K} * 600 AS hold FROM events WHERE event_type = 'purchase')"))
 def slot_admission(spark, d):
-    return gates.admit_slots(table(spark, d, "events").where("event_type = 'purchase'"), "ts", 86400, 5)
+    e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("hold", 3600 + 600 * F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)))
+    return gates.admit_slots(e, "ts", "hold", 5, 86400)
 
 
-@query("trigger_gate")
+_RUNS = "list_filter(r.state.runs, lambda t: t.a > e.ts - INTERVAL 6 HOUR AND t.b > e.ts)"
+_GO = f"(e.force OR (len({_RUNS}) = 0 AND (r.state.last IS NULL OR e.ts >= r.state.last + INTERVAL 3600 SECOND)))"
+
+
+@query(
+    "trigger_gate",
+    _gate_sql("one", "{'last': NULL::TIMESTAMP, 'runs': []::STRUCT(a TIMESTAMP, b TIMESTAMP)[]}", f"CASE WHEN {_GO} THEN {{'last': e.ts, 'runs': list_append({_RUNS}, {{'a': e.ts, 'b': e.ends}})}} ELSE {{'last': r.state.last, 'runs': {_RUNS}}} END", _GO, extra=", force, ends").replace(
+        "FROM events WHERE true", f"FROM (SELECT *, 1 AS one, {_K} > 95 AS force, CASE WHEN {_K} < 10 THEN TIMESTAMP '9999-01-01' ELSE ts + to_seconds({_K} * 300) END AS ends FROM events WHERE event_type = 'signup')"
+    ),
+)
 def trigger_gate(spark, d):
-    return gates.trigger_gate(table(spark, d, "events"), "event_type", 1800)
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    e = table(spark, d, "events").where("event_type = 'signup'").withColumns({"one": F.lit(1), "force": k > 95, "run_seconds": F.when(k >= 10, k * 300)})
+    return gates.trigger_gate(e, "one", 1800)
 
 
 @query("report_alerts", "SELECT event_id, coalesce(lag(ts) OVER w <= ts - INTERVAL 60 MINUTE, true) AS sends, (row_number() OVER w)::INT AS so_far FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -602,3 +657,6 @@ def coupon_ledger(spark, d):
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
     x = o.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(c.select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "left")
     return x.join(n.select("n_nationkey", "n_name"), "n_nationkey", "left").select("o_orderkey", "c_name", "n_name")
+
+
+from carda.plans import more  # noqa: E402, F401  registers its queries here
