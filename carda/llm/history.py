@@ -1,13 +1,18 @@
 """New batches held against everything accepted before.
 
-A store keeps, per accepted record, band keys of its minwise signature (and keys of its contact with fingerprint
-blocks, and of its address) partitioned by a hash of the key. A batch probes only the buckets its own keys fall in,
-candidates are verified on the texts, and the accepted records' keys are appended. :func:`repeats` does the same for
-a whole table at once; :class:`HistoryStore` does it batch by batch.
-
-Defined cases: a null or empty description gives no text keys, so such a row can only repeat another by contact,
-fingerprint and title; exact copies of a text are collapsed before probing and cost one signature; ties in arrival go
-to the lower id; repeated ids count once; empty tables give empty results; extra columns are ignored.
+A store keeps, load by load, the band keys of minwise signatures (and keys of contact with title and fingerprint blocks,
+and of the address), bucketed and sorted by a hash of the key, beside the accepted rows. A batch's keys probe the
+buckets they fall in, without moving the history; candidates are verified on the texts; rows of no accepted vacancy are
+accepted, and the batch's keys are appended, each leading to the vacancy it belongs to. Exact copies of a text held
+already are known by its digest and cost neither signature nor probe.
+
+A load is written aside and counts only once its last part, the decisions, is whole: a retry overwrites what a lost
+attempt left, and a load given twice is answered from its decisions. :func:`repeats` sends a whole table through a store,
+days in order.
+
+Defined cases: a null or empty description gives no text keys, so such a row can only repeat another by address, or by
+contact, title and a block of the fingerprint; ties in arrival go to the lower id; repeated ids count once; rows without
+``collected_at`` come first; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,23 +20,24 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carda.functions.chars import TRADITIONAL, fold_accents, fold_han, fold_py, fold_width
 from carda.operators.graph import connected_components
-from carda.session import checkpoint_dir, cut, fixed_rows
+from carda.session import checkpoint_dir, cut, fixed_rows, sized_broadcast
 
 #: Word shingles of a signature, bands and rows of the signature matrix.
-SHINGLE, BANDS, ROWS = 5, 20, 5
+SHINGLE, BANDS, ROWS = 5, 24, 4
 #: Share of the smaller text's shingles the larger one holds, at least, to be one advert lightly edited.
 CONTAINED = 0.7
-_PARTITIONS = 64
+#: Lowest two bits of a key: a band of the text, the address, the contact.
+TEXT, URL, CONTACT = 0, 1, 2
 _MASK = np.uint64(0xFFFFFFFF)
 
 
@@ -103,7 +109,7 @@ def _band_keys(texts: list[str]) -> np.ndarray:
             key = (key ^ np.minimum.reduceat(x, at)) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(28)
             if j % ROWS == ROWS - 1:
-                out[lo + some, j // ROWS] = (key << np.uint64(6)) + np.uint64(2 * (j // ROWS))
+                out[lo + some, j // ROWS] = (key << np.uint64(7)) + np.uint64(4 * (j // ROWS))
                 key = np.zeros(len(some), np.uint64)
     return out.view(np.int64)
 
@@ -195,29 +201,30 @@ def prepare(jobs: DataFrame, regions: DataFrame) -> DataFrame:
     return named.select("id", "collected_at", text_id.alias("text_id"), "words", "title_words", "shop", "town", "contact_key", "simhash", "url")
 
 
-def _text_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Band keys of every text; a text repeated nearby gives its keys once, so that copies do not pile up in a bucket."""
-    seen: set[int] = set()
-    for pdf in batches:
-        if len(seen) > 1_000_000:
-            seen.clear()
-        pdf = pdf.drop_duplicates("text_id")
-        pdf = pdf[~pdf["text_id"].isin(seen)] if seen else pdf
-        seen.update(pdf["text_id"].tolist())
-        keys = _band_keys(pdf["words"].tolist())
-        yield pd.DataFrame({"text_id": np.repeat(pdf["text_id"].to_numpy(), BANDS), "key": keys.ravel()})
+def _town_keys(towns: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Band keys of distinct texts, salted with the text's town; a text that names none probes every town's keys."""
+    every = np.array(sorted(towns) or [0], np.int64)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = _band_keys(pdf["words"].tolist())
+            town = pdf["town"].fillna(-1).astype("int64").to_numpy()
+            at = np.concatenate((np.flatnonzero(town >= 0), np.repeat(np.flatnonzero(town < 0), len(every))))
+            salt = np.concatenate((town[town >= 0], np.tile(every, (town < 0).sum()))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            salted = keys[at].view(np.uint64) ^ (salt << np.uint64(7))[:, None]
+            yield pd.DataFrame({"text_id": np.repeat(pdf["text_id"].to_numpy()[at], BANDS), "key": salted.view(np.int64).ravel()})
 
-def probe_keys(rows: DataFrame) -> DataFrame:
-    """(text_id, key): bands of the minwise signature, contact with each fingerprint block, and the address.
+    return run
 
-    The lowest bit of a key tells addresses (1) from the rest.
-    """
-    text = rows.where("words <> ''").select("text_id", "words").mapInPandas(_text_keys, "text_id long, key long")
-    even = lambda k: k.bitwiseAND(F.lit(-2))
-    blocks = F.array(*[even(F.xxhash64(F.lit(i), F.col("contact_key"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(65535), "title_words")) for i in range(4)])
+
+def probe_keys(texts: DataFrame, rows: DataFrame, towns: list[int]) -> DataFrame:
+    """(text_id, key): bands of the distinct ``texts``, and of all ``rows`` the contact with title and each fingerprint
+    block, and the address. The lowest bits of a key tell its kind."""
+    text = texts.where("words <> ''").select("text_id", "words", "town").mapInPandas(_town_keys(towns), "text_id long, key long")
+    kind = lambda k, bits: k.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(bits))
+    blocks = F.array(*[kind(F.xxhash64(F.lit(i), F.col("contact_key"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(65535), "title_words"), CONTACT) for i in range(4)])
     contact = rows.where("contact_key is not null and simhash is not null and simhash <> 0").select("text_id", F.explode(blocks).alias("key"))
-    url = rows.where("url is not null").select("text_id", F.xxhash64("url").bitwiseOR(F.lit(1)).alias("key"))
+    url = rows.where("url is not null").select("text_id", kind(F.xxhash64("url"), URL).alias("key"))
     return text.unionByName(contact).unionByName(url)
 
 
@@ -227,7 +234,8 @@ _SIDE = ("text_id", "words", "title_words", "shop", "town")
 def verified(pairs: DataFrame) -> DataFrame:
     """Candidate pairs (columns of both sides suffixed _a and _b) that are one advert of one shop in one town.
 
-    Where neither row names its shop, the opening words, which name it, must agree almost wholly.
+    Where neither row names its shop, the opening words of one, which name it, must stand in the other almost wholly. A
+    row without text is the other's repeat by its address, or by its contact with title and fingerprint.
     """
     contained = F.pandas_udf(_containment, "double")
     glued = lambda x: F.regexp_replace(F.concat(F.col(f"words_{x}"), F.col(f"title_words_{x}")), " ", "")
@@ -236,94 +244,162 @@ def verified(pairs: DataFrame) -> DataFrame:
     shops = F.when(a & b, same_shop).when(a, F.instr(glued("b"), F.col("shop_a")) > 0).when(b, F.instr(glued("a"), F.col("shop_b")) > 0).otherwise(F.lit(True))
     towns = F.col("town_a").isNull() | F.col("town_b").isNull() | (F.col("town_a") == F.col("town_b"))
     x = pairs.where(towns & shops).withColumn("contained", contained("words_a", "words_b"))
-    x = x.withColumn("opening", F.when(~a & ~b, contained(F.substring("words_a", 1, 34), F.substring("words_b", 1, 34))).otherwise(F.lit(1.0)))
-    return x.where(((F.col("contained") >= CONTAINED) & (F.col("opening") >= 0.8)) | (F.col("same_url") & ((F.col("contained") >= 0.3) | (F.col("words_a") == "") | (F.col("words_b") == ""))))
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-
-
-def _bucketed(keys: DataFrame, buckets: int) -> DataFrame:
-    """The keys as a table in the shared folder, bucketed and sorted by key: later joins on key need no exchange."""
-    spark = keys.sparkSession
-    name = f"history_{uuid.uuid4().hex}"
-    one = keys.repartition(buckets, "key").dropDuplicates(["key", "text_id"])
-    one.write.bucketBy(buckets, "key").sortBy("key").option("path", _shared_folder(spark)).saveAsTable(name)
-    return spark.table(name)
-
-
-def _verified_links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) of the candidate pairs (a, b, same_url) that verification keeps; only the texts they need are moved."""
-    pairs = cut(pairs)
-    need = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
-    texts = cut(rows.select(*_SIDE).join(need, "text_id", "left_semi").dropDuplicates(["text_id"]))
-    side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in _SIDE])
-    both = pairs.join(side("a"), pairs.a == F.col("text_id_a")).join(side("b"), pairs.b == F.col("text_id_b"))
-    return verified(both).select("a", "b")
+    held = lambda p, q: contained(F.substring(f"words_{p}", 1, 34), F.substring(f"words_{q}", 1, 80))
+    x = x.withColumn("opening", F.when(~a & ~b, F.greatest(held("a", "b"), held("b", "a"))).otherwise(F.lit(1.0)))
+    bare = (F.col("words_a") == "") | (F.col("words_b") == "")
+    return x.where(((F.col("contained") >= CONTAINED) & (F.col("opening") >= 0.8)) | (F.col("same_url") & ((F.col("contained") >= 0.3) | bare)) | (F.col("same_contact") & bare))
 
 
-def vacancies(jobs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(id, collected_at, vacancy, accepted_id): rows of vacancies stated more than once, with the accepted row.
+class HistoryStore:
+    """The accepted history in a folder all executors share.
 
-    The whole table is one load: the keys of all texts are written to the store, every text probes the buckets its
-    keys fall in, and verified links are closed over. The first row of a vacancy by collected_at, then id, is accepted.
+    Of every load: ``rows`` (what verification and judging need), ``keys`` (bucketed and sorted by key), ``members``
+    (text -> vacancy), ``accepted`` (vacancy -> its first row) and, written last, ``decisions``. ``buckets`` is fixed when
+    the store is made; the more there are, the smaller each join of a batch with the history.
     """
-    spark = jobs.sparkSession
-    folder = _shared_folder(spark)
-    prepare(jobs, regions).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = _bucketed(probe_keys(rows), buckets)
-    busy = stored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = cut(stored.join(busy, "key").select("key", "text_id"))
-    pairs = held.select("key", F.col("text_id").alias("a")).join(held.select("key", F.col("text_id").alias("b")), "key").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("same_url"))
-    parts = connected_components(_verified_links(pairs, rows))
-    named = rows.select("id", "collected_at", "text_id").join(parts.withColumnRenamed("node", "text_id"), "text_id", "left").select("id", "collected_at", F.coalesce("component", "text_id").alias("vacancy"))
-    accepted = named.groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("accepted_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return named.join(accepted, "vacancy").select("id", "collected_at", "vacancy", "accepted_id")
-
-
-def repeats(jobs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(job_id_a, job_id_b): each later row of a vacancy with the accepted one, smaller id first."""
-    v = vacancies(jobs, regions).where("id <> accepted_id")
-    return v.select(F.least("id", "accepted_id").alias("job_id_a"), F.greatest("id", "accepted_id").alias("job_id_b")).distinct()
 
+    _ROWS = "id long, collected_at timestamp_ntz, text_id long, words string, title_words string, shop string, town int, contact_key string, simhash long, url string"
 
-class HistoryStore:
-    """The accepted history in a folder all executors share: ``keys`` partitioned by hash, and ``records``."""
-
-    def __init__(self, spark: SparkSession, path: str, regions: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, path: str, regions: DataFrame, buckets: int = 64) -> None:
         self.spark, self.path, self.regions = spark, path.rstrip("/"), regions
-
-    def _read(self, what: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{what}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
-
-    def add_batch(self, batch: DataFrame) -> DataFrame:
-        """(id, accepted_id) of the batch; only accepted records' keys and texts are appended to the store."""
-        rows = cut(prepare(batch, self.regions))
-        records = self._read("records", "text_id long, words string, title_words string, shop string, town int, id long, collected_at timestamp_ntz")
-        known = self._read("keys", "text_id long, key long, part int")
-        part = F.pmod("key", F.lit(_PARTITIONS)).cast("int")
-        mine = cut(probe_keys(rows).distinct().withColumn("part", part))
-        # matching buckets only: the store is read in the parts the batch's keys fall in, at most _PARTITIONS of them
-        parts = [r["part"] for r in mine.select("part").distinct().collect()]
-        old = known.where(F.col("part").isin(parts)).select("key", F.col("text_id").alias("a"))
-        new = mine.select("key", F.col("text_id").alias("b"))
-        pairs = old.join(new, "key").where("a <> b").unionByName(mine.select("key", F.col("text_id").alias("a")).join(new, "key").where("a < b"))
-        pairs = pairs.groupBy("a", "b").agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("same_url"))
-        links = _verified_links(pairs, rows.select(*_SIDE).unionByName(records.select(*_SIDE)))
-        comp = cut(connected_components(links))
-        group = lambda d: d.join(comp.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("vacancy", F.coalesce("component", "text_id"))
-        both = group(rows.select("id", "collected_at", "text_id")).unionByName(group(records.select("id", "collected_at", "text_id")))
-        first = both.groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("first"))
-        held = group(records.select("id", "collected_at", "text_id")).groupBy("vacancy").agg(F.min(F.struct("collected_at", "id"))["id"].alias("held"))
-        done = cut(group(rows.select("id", "collected_at", "text_id")).join(first, "vacancy").join(held, "vacancy", "left").select("id", "text_id", F.coalesce("held", "first").alias("accepted_id")))
-        fresh = done.where("id = accepted_id").select("id", "text_id")
-        mine.join(fresh.select("text_id").distinct(), "text_id", "left_semi").repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
-        rows.select(*_SIDE, "id", "collected_at").join(fresh.select("id"), "id", "left_semi").write.mode("append").parquet(f"{self.path}/records")
-        return done.select("id", "accepted_id")
+        self.towns = sorted(set(town_key(spark, regions).values()))
+        jvm = spark._jvm
+        self._hadoop = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        made = self._names("buckets=*", "buckets=")
+        self.buckets = int(made[0]) if made else buckets
+        if not made:
+            self._fs.mkdirs(self._hadoop(f"{self.path}/buckets={buckets}"))
+        self._tables: set[str] = set()
+
+    def _names(self, pattern: str, prefix: str) -> list[str]:
+        found = self._fs.globStatus(self._hadoop(f"{self.path}/{pattern}"))
+        parts = [f.getPath().toString().split("/") for f in found or []]
+        return sorted(x[len(prefix) :] for p in parts for x in p if x.startswith(prefix))
+
+    def loads(self) -> list[str]:
+        """The committed loads, in order of their names."""
+        return self._names("load=*/decisions/_SUCCESS", "load=")
+
+    def _part(self, load: str, what: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/load={load}/{what}")
+
+    def _all(self, what: str, loads: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/load={x}/{what}" for x in loads]) if loads else self.spark.createDataFrame([], schema)
+
+    def _save(self, df: DataFrame, load: str, what: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/load={load}/{what}")
+        return self._part(load, what)
+
+    def _keys(self, load: str, write: DataFrame | None = None) -> DataFrame:
+        """The load's keys as a table bucketed by key, so that joins of loads need no exchange."""
+        name = "history_" + hashlib.md5(f"{self.path} {load}".encode()).hexdigest()
+        where = f"{self.path}/load={load}/keys"
+        if write is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            one = write.repartition(self.buckets, "key").dropDuplicates(["key", "text_id"])
+            one.write.mode("overwrite").bucketBy(self.buckets, "key").sortBy("key").option("path", where).saveAsTable(name)
+        elif name not in self._tables:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (text_id BIGINT, key BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        self._tables.add(name)
+        return self.spark.table(name).select("key", "text_id")
+
+    def close(self, discard: bool = False) -> None:
+        """Forget the tables of this session; ``discard`` deletes the folder as well."""
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
+        if discard:
+            self._fs.delete(self._hadoop(self.path), True)
+
+    def add_batch(self, batch: DataFrame, load: str | None = None) -> DataFrame:
+        """(id, accepted_id) of the batch's rows. ``load`` names the batch; names are to be given in order of arrival."""
+        before = self.loads()
+        load = f"{len(before):06d}" if load is None else load
+        if load in before:
+            return self._part(load, "decisions")
+        rows = self._save(prepare(batch, self.regions), load, "rows")
+        members = self._all("members", before, "text_id long, vacancy long")
+        # copies of texts held already belong to their vacancy; of the others each text is probed once
+        texts = rows.select("text_id", "words", "town").dropDuplicates(["text_id"]).join(members.select("text_id"), "text_id", "left_anti")
+        mine = self._keys(load, probe_keys(texts, rows, self.towns))
+        pairs = self._candidates(mine, [self._keys(x) for x in before])
+        links = self._links(pairs, rows, self._all("rows", before, self._ROWS))
+        # an old text stands for its vacancy
+        known = lambda d, c: d.join(members.select(F.col("text_id").alias(c), F.col("vacancy").alias(f"v_{c}")), c, "left")
+        edges = known(known(links, "a"), "b").select(F.coalesce("v_a", "a").alias("a"), F.coalesce("v_b", "b").alias("b"))
+        parts = cut(connected_components(edges).select(F.col("node").alias("vacancy"), "component"))
+        held = self._all("accepted", before, "vacancy long, id long, collected_at timestamp_ntz").select("vacancy", "id", "collected_at")
+        old = held.join(parts, "vacancy").groupBy("component").agg(F.min(F.struct("collected_at", "id", "vacancy")).alias("old"))
+        x = rows.select("id", "collected_at", "text_id").distinct().join(members, "text_id", "left")
+        x = x.withColumn("vacancy", F.coalesce("vacancy", "text_id")).join(parts, "vacancy", "left").join(old, "component", "left")
+        x = x.join(held.select(F.col("vacancy").alias("vacancy"), F.col("id").alias("own_id")), "vacancy", "left")
+        # the vacancy a row joins: the first accepted one of its part, its own text's, or a new one
+        x = cut(x.select("id", "collected_at", "text_id", F.coalesce("old.vacancy", F.when(F.col("own_id").isNotNull(), F.col("vacancy")), "component", "vacancy").alias("vacancy"), F.coalesce("old.id", "own_id").alias("held_id")))
+        first = x.where("held_id is null").groupBy("vacancy").agg(F.min(F.struct("collected_at", "id")).alias("f"))
+        first = self._save(first.select("vacancy", "f.id", "f.collected_at"), load, "accepted")
+        self._save(x.select("text_id", "vacancy").join(members.select("text_id"), "text_id", "left_anti").groupBy("text_id").agg(F.min("vacancy").alias("vacancy")), load, "members")
+        done = x.join(first.select("vacancy", F.col("id").alias("new_id")), "vacancy", "left").select("id", F.coalesce("held_id", "new_id").alias("accepted_id"))
+        return self._save(done, load, "decisions")
+
+    @staticmethod
+    def _candidates(mine: DataFrame, older: list[DataFrame]) -> DataFrame:
+        """(a, b, same_url, same_contact): b a text of the batch, a one of the batch or of the history, with a common key.
+
+        A key only one text has, which is nearly every key, is dropped before the batch is joined with itself.
+        """
+        busy = mine.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        inside = mine.join(busy, "key").select("key", F.col("text_id").alias("b"))
+        found = inside.join(inside.withColumnRenamed("b", "a"), "key").where("a < b")
+        for keys in older:
+            found = found.unionByName(keys.select("key", F.col("text_id").alias("a")).join(mine.select("key", F.col("text_id").alias("b")), "key").where("a <> b"))
+        kind = F.col("key").bitwiseAND(F.lit(3))
+        return found.groupBy("a", "b").agg(F.max(kind == URL).alias("same_url"), F.max(kind == CONTACT).alias("same_contact"))
+
+    @staticmethod
+    def _links(pairs: DataFrame, rows: DataFrame, older: DataFrame) -> DataFrame:
+        """(a, b) of the pairs that verification keeps; the texts they need are read once and only they are moved."""
+        pairs = cut(pairs)
+        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct())
+        need = sized_broadcast(need, need.count(), 100_000)
+        texts = cut(rows.select(*_SIDE).unionByName(older.select(*_SIDE)).join(need, "text_id", "left_semi").dropDuplicates(["text_id"]))
+        side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in _SIDE])
+        both = pairs.join(side("a"), pairs.a == F.col("text_id_a")).join(side("b"), pairs.b == F.col("text_id_b"))
+        return cut(verified(both).select("a", "b"))
+
+
+def _days(jobs: DataFrame, loads: int) -> list[tuple[object, object]]:
+    """(first, last) days of ``loads`` stretches of about equal size; None for an open end."""
+    per = jobs.groupBy(F.col("collected_at").cast("date").alias("day")).agg(F.count("*").alias("n")).where("day is not null").orderBy("day").collect()  # a row a day
+    total, ends, at = sum(r["n"] for r in per), [], 0
+    sums = []
+    for r in per:
+        at += r["n"]
+        sums.append(at)
+    for k in range(1, loads):
+        i = bisect_left(sums, total * k / loads)
+        if i < len(per) - 1 and (not ends or per[i]["day"] > ends[-1]):
+            ends.append(per[i]["day"])
+    return list(zip([None, *ends], [*ends, None]))
+
+
+def repeats(jobs: DataFrame, regions: DataFrame, loads: int = 4, store: HistoryStore | None = None) -> DataFrame:
+    """(job_id_a, job_id_b): each later row of a vacancy with the accepted one, smaller id first.
+
+    The table goes through a store, days in order; several days are added as one load, which changes no answer, since
+    the rows of a load are taken by arrival, too. A store made here is deleted when its decisions have been read.
+    """
+    spark = jobs.sparkSession
+    own = store is None
+    if store is None:
+        store = HistoryStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", regions, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    day, out = F.col("collected_at").cast("date"), None
+    for after, until in _days(jobs, loads):
+        batch = jobs.where((F.coalesce(day > F.lit(after), F.lit(False)) if after else F.lit(True)) & (F.coalesce(day <= F.lit(until), F.lit(True)) if until else F.lit(True)))
+        done = store.add_batch(batch)
+        out = done if out is None else out.unionByName(done)
+    v = out.where("id <> accepted_id").select(F.least("id", "accepted_id").alias("job_id_a"), F.greatest("id", "accepted_id").alias("job_id_b")).distinct()
+    if own:
+        v = cut(v)
+        store.close(discard=True)
+    return v

@@ -249,20 +249,51 @@ def _jobs(spark):
     return df.withColumn("simhash", F.lit(None).cast("long")).withColumn("words", F.lit("clash"))
 
 
+def _add_days(store, jobs, days):
+    got = set()
+    for day in days:
+        batch = jobs.where(F.dayofmonth(F.col("collected_at").cast("timestamp")) == day)
+        got |= {(min(r["id"], r["accepted_id"]), max(r["id"], r["accepted_id"])) for r in store.add_batch(batch, f"2026-03-{day:02d}").collect() if r["id"] != r["accepted_id"]}
+    return got
+
+
 def test_history_in_one_load_and_by_batches(spark, tmp_path):
     reg = spark.createDataFrame(REGIONS, "id int, parent_id int, name string, level int")
     jobs = _jobs(spark)
     want = {(1, 2), (1, 5), (1, 9), (6, 7)}
-    assert {(r[0], r[1]) for r in history.repeats(jobs, reg).collect()} == want
-    store = history.HistoryStore(spark, str(tmp_path / "store"), reg)
-    got = set()
-    for day in (1, 2, 3, 4):
-        batch = jobs.where(F.dayofmonth(F.col("collected_at").cast("timestamp")) == day)
-        got |= {(min(r["id"], r["accepted_id"]), max(r["id"], r["accepted_id"])) for r in store.add_batch(batch).collect() if r["id"] != r["accepted_id"]}
-    assert got == want
+    for loads in (1, 3):
+        assert {(r[0], r[1]) for r in history.repeats(jobs, reg, loads).collect()} == want
+    store = history.HistoryStore(spark, str(tmp_path / "store"), reg, 8)
+    assert _add_days(store, jobs, (1, 2, 3, 4)) == want
+    store.close(discard=True)
     assert history.repeats(jobs.limit(0), reg).count() == 0
 
 
+def test_history_survives_a_lost_load_and_a_retry(spark, tmp_path):
+    """A load without decisions does not count; one given twice is answered, not added; a reopened store goes on."""
+    reg = spark.createDataFrame(REGIONS, "id int, parent_id int, name string, level int")
+    jobs = _jobs(spark)
+    path = str(tmp_path / "store")
+    store = history.HistoryStore(spark, path, reg, 8)
+    first = _add_days(store, jobs, (1, 2))
+    store._fs.delete(store._hadoop(f"{path}/load=2026-03-02/decisions"), True)
+    store.close()
+    again = history.HistoryStore(spark, path, reg, 16)
+    assert again.buckets == 8 and again.loads() == ["2026-03-01"]
+    assert _add_days(again, jobs, (2, 2, 3, 4)) | first == {(1, 2), (1, 5), (1, 9), (6, 7)}
+    assert again.loads() == [f"2026-03-0{d}" for d in (1, 2, 3, 4)]
+    again.close(discard=True)
+    assert not (tmp_path / "store").exists() and not [t for t in spark.catalog.listTables() if t.name.startswith("history_")]
+
+
+def test_rows_without_text_repeat_by_contact(spark):
+    reg = spark.createDataFrame(REGIONS, "id int, parent_id int, name string, level int")
+    t = dt.datetime(2026, 3, 1)
+    rows = [(1, "u1", "Cocinero", None, None, None, "6|", 77, t), (2, "u2", "Cocinero", None, None, "", "6|", 77, t), (3, "u3", "Otro", None, None, "", "6|", 77, t), (4, "u4", "Cocinero", None, None, "", "7|", 77, t)]
+    jobs = spark.createDataFrame(rows, "id long, source_url string, title string, company string, city string, description string, contact_key string, simhash long, collected_at timestamp_ntz")
+    assert {tuple(r) for r in history.repeats(jobs, reg).collect()} == {(1, 2)}
+
+
 def test_signatures_follow_similarity():
     r = random.Random(7)
     words = [f"w{i}" for i in range(3000)]
