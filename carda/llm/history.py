@@ -22,6 +22,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from carda.operators.graph import connected_components
 from carda.session import checkpoint_dir, cut, fixed_rows, sized_broadcast
 
 #: Word shingles of a signature, bands and rows of the signature matrix.
-SHINGLE, BANDS, ROWS = 5, 24, 4
+SHINGLE, BANDS, ROWS = 5, 20, 4
 #: Share of the smaller text's shingles the larger one holds, at least, to be one advert lightly edited.
 CONTAINED = 0.7
 #: Lowest two bits of a key: a band of the text, the address, the contact.
@@ -114,13 +115,25 @@ def _band_keys(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _containment(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        p, q = shingle_hashes(x or "", 3), shingle_hashes(y or "", 3)
-        small = min(len(p), len(q))
-        out.append(len(np.intersect1d(p, q, assume_unique=True)) / small if small else 0.0)
-    return pd.Series(out)
+@lru_cache(maxsize=8192)
+def _threes(text: str) -> frozenset[int]:
+    return frozenset(_shingles([text], 3)[0].tolist())
+
+
+def containment(x: str, y: str) -> float:
+    """Share of the smaller text's three-word shingles the other holds."""
+    p, q = _threes(x), _threes(y)
+    small = min(len(p), len(q))
+    return len(p & q) / small if small else 0.0
+
+
+def _compared(a: pd.Series, b: pd.Series, unnamed: pd.Series) -> pd.DataFrame:
+    """Containment of the texts and, where no shop is named, of either's opening words in the other's beginning."""
+    rows = []
+    for x, y, bare in zip(a.fillna(""), b.fillna(""), unnamed):
+        c = containment(x, y)
+        rows.append((c, max(containment(x[:34], y[:80]), containment(y[:34], x[:80])) if bare and c >= CONTAINED else 1.0))
+    return pd.DataFrame(rows, columns=["contained", "opening"])
 
 
 # What stands in front of a republished advert.
@@ -193,8 +206,8 @@ def prepare(jobs: DataFrame, regions: DataFrame) -> DataFrame:
         "simhash",
         same_address(F.col("source_url")).alias("url"),
     ).select("*", "w.words", "w.title_words", "w.digest")
-    found = lambda c: F.nullif(F.regexp_extract(c, f"({names})", 1), F.lit(""))
-    named = x.withColumn("town_name", F.coalesce(found(F.col("words")), found(F.col("title_words")), found(F.col("city_words"))))
+    # the first town named in the text, else in the title, else as the city
+    named = x.withColumn("town_name", F.regexp_extract(F.concat_ws("\n", "words", "title_words", "city_words"), f"({names})", 1))
     named = named.join(F.broadcast(ids), "town_name", "left")
     same_text = F.xxhash64("digest", F.length("words"), F.coalesce("shop", F.lit("")), F.coalesce("town", F.lit(0)))
     text_id = F.when(F.col("words") != "", same_text).otherwise(F.xxhash64(F.lit("row"), "id"))
@@ -202,11 +215,17 @@ def prepare(jobs: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def _town_keys(towns: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Band keys of distinct texts, salted with the text's town; a text that names none probes every town's keys."""
+    """Band keys of texts, salted with the text's town; a text that names none probes every town's keys."""
     every = np.array(sorted(towns) or [0], np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # a text repeated nearby gives its keys once
         for pdf in batches:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            pdf = pdf.drop_duplicates("text_id")
+            pdf = pdf[~pdf["text_id"].isin(seen)] if seen else pdf
+            seen.update(pdf["text_id"].tolist())
             keys = _band_keys(pdf["words"].tolist())
             town = pdf["town"].fillna(-1).astype("int64").to_numpy()
             at = np.concatenate((np.flatnonzero(town >= 0), np.repeat(np.flatnonzero(town < 0), len(every))))
@@ -218,7 +237,7 @@ def _town_keys(towns: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 
 
 def probe_keys(texts: DataFrame, rows: DataFrame, towns: list[int]) -> DataFrame:
-    """(text_id, key): bands of the distinct ``texts``, and of all ``rows`` the contact with title and each fingerprint
+    """(text_id, key): bands of ``texts``, and of all ``rows`` the contact with title and each fingerprint
     block, and the address. The lowest bits of a key tell its kind."""
     text = texts.where("words <> ''").select("text_id", "words", "town").mapInPandas(_town_keys(towns), "text_id long, key long")
     kind = lambda k, bits: k.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(bits))
@@ -237,15 +256,13 @@ def verified(pairs: DataFrame) -> DataFrame:
     Where neither row names its shop, the opening words of one, which name it, must stand in the other almost wholly. A
     row without text is the other's repeat by its address, or by its contact with title and fingerprint.
     """
-    contained = F.pandas_udf(_containment, "double")
     glued = lambda x: F.regexp_replace(F.concat(F.col(f"words_{x}"), F.col(f"title_words_{x}")), " ", "")
     same_shop = F.col("shop_a").startswith(F.col("shop_b")) | F.col("shop_b").startswith(F.col("shop_a"))
     a, b = F.col("shop_a").isNotNull(), F.col("shop_b").isNotNull()
     shops = F.when(a & b, same_shop).when(a, F.instr(glued("b"), F.col("shop_a")) > 0).when(b, F.instr(glued("a"), F.col("shop_b")) > 0).otherwise(F.lit(True))
     towns = F.col("town_a").isNull() | F.col("town_b").isNull() | (F.col("town_a") == F.col("town_b"))
-    x = pairs.where(towns & shops).withColumn("contained", contained("words_a", "words_b"))
-    held = lambda p, q: contained(F.substring(f"words_{p}", 1, 34), F.substring(f"words_{q}", 1, 80))
-    x = x.withColumn("opening", F.when(~a & ~b, F.greatest(held("a", "b"), held("b", "a"))).otherwise(F.lit(1.0)))
+    compared = F.pandas_udf(_compared, "struct<contained:double,opening:double>")
+    x = pairs.where(towns & shops).withColumn("c", compared("words_a", "words_b", ~a & ~b)).select("*", "c.contained", "c.opening")
     bare = (F.col("words_a") == "") | (F.col("words_b") == "")
     return x.where(((F.col("contained") >= CONTAINED) & (F.col("opening") >= 0.8)) | (F.col("same_url") & ((F.col("contained") >= 0.3) | bare)) | (F.col("same_contact") & bare))
 
@@ -297,8 +314,7 @@ class HistoryStore:
         where = f"{self.path}/load={load}/keys"
         if write is not None:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            one = write.repartition(self.buckets, "key").dropDuplicates(["key", "text_id"])
-            one.write.mode("overwrite").bucketBy(self.buckets, "key").sortBy("key").option("path", where).saveAsTable(name)
+            write.repartition(self.buckets, "key").write.mode("overwrite").bucketBy(self.buckets, "key").sortBy("key").option("path", where).saveAsTable(name)
         elif name not in self._tables:
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (text_id BIGINT, key BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{where}'")
         self._tables.add(name)
@@ -320,36 +336,50 @@ class HistoryStore:
             return self._part(load, "decisions")
         rows = self._save(prepare(batch, self.regions), load, "rows")
         members = self._all("members", before, "text_id long, vacancy long")
-        # copies of texts held already belong to their vacancy; of the others each text is probed once
-        texts = rows.select("text_id", "words", "town").dropDuplicates(["text_id"]).join(members.select("text_id"), "text_id", "left_anti")
-        mine = self._keys(load, probe_keys(texts, rows, self.towns))
+        # copies of texts held already belong to their vacancy and are not probed again
+        known = self._picked(members, rows.select("text_id").distinct(), "text_id") if before else members
+        mine = self._keys(load, probe_keys(rows.join(known.select("text_id"), "text_id", "left_anti"), rows, self.towns))
         pairs = self._candidates(mine, [self._keys(x) for x in before])
-        links = self._links(pairs, rows, self._all("rows", before, self._ROWS))
-        # an old text stands for its vacancy
-        known = lambda d, c: d.join(members.select(F.col("text_id").alias(c), F.col("vacancy").alias(f"v_{c}")), c, "left")
-        edges = known(known(links, "a"), "b").select(F.coalesce("v_a", "a").alias("a"), F.coalesce("v_b", "b").alias("b"))
-        parts = cut(connected_components(edges).select(F.col("node").alias("vacancy"), "component"))
-        held = self._all("accepted", before, "vacancy long, id long, collected_at timestamp_ntz").select("vacancy", "id", "collected_at")
-        old = held.join(parts, "vacancy").groupBy("component").agg(F.min(F.struct("collected_at", "id", "vacancy")).alias("old"))
-        x = rows.select("id", "collected_at", "text_id").distinct().join(members, "text_id", "left")
-        x = x.withColumn("vacancy", F.coalesce("vacancy", "text_id")).join(parts, "vacancy", "left").join(old, "component", "left")
-        x = x.join(held.select(F.col("vacancy").alias("vacancy"), F.col("id").alias("own_id")), "vacancy", "left")
-        # the vacancy a row joins: the first accepted one of its part, its own text's, or a new one
-        x = cut(x.select("id", "collected_at", "text_id", F.coalesce("old.vacancy", F.when(F.col("own_id").isNotNull(), F.col("vacancy")), "component", "vacancy").alias("vacancy"), F.coalesce("old.id", "own_id").alias("held_id")))
+        links = self._links(pairs, rows, self._all("rows", before, self._ROWS) if before else None)
+        # in links an old text stands for its vacancy; only those links touch are looked up
+        old = self._picked(members, links.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id") if before else members
+        for c in ("a", "b") if before else ():
+            links = links.join(old.select(F.col("text_id").alias(c), F.col("vacancy").alias("_v")), c, "left").withColumn(c, F.coalesce("_v", c)).drop("_v")
+        parts = cut(connected_components(links.select("a", "b")).select(F.col("node").alias("vacancy"), "component"))
+        # texts that do not stand for themselves alone: known ones and ones in a part
+        named = known.unionByName(parts.select(F.col("vacancy").alias("text_id"), "vacancy").join(known.select("text_id"), "text_id", "left_anti"))
+        named = named.join(parts, "vacancy", "left").select("text_id", F.coalesce("component", "vacancy").alias("part"))
+        if before:  # the first accepted row of each part, and its vacancy
+            ends = named.select(F.col("part").alias("component")).distinct().join(parts, "component", "left").select("component", F.coalesce("vacancy", "component").alias("vacancy"))
+            held = self._picked(self._all("accepted", before, "vacancy long, id long, collected_at timestamp_ntz"), ends.select("vacancy").distinct(), "vacancy")
+            first_of = ends.join(held, "vacancy").groupBy(F.col("component").alias("part")).agg(F.min(F.struct("collected_at", "id", "vacancy")).alias("old"))
+            named = named.join(first_of, "part", "left").select("text_id", F.coalesce("old.vacancy", "part").alias("part"), F.col("old.id").alias("held_id"))
+        else:
+            named = named.withColumn("held_id", F.lit(None).cast("long"))
+        named = cut(named)
+        x = rows.select("id", "collected_at", "text_id").join(sized_broadcast(named, named.count(), 100_000), "text_id", "left")
+        x = cut(x.select("id", "collected_at", "text_id", F.coalesce("part", "text_id").alias("vacancy"), "held_id").distinct())
         first = x.where("held_id is null").groupBy("vacancy").agg(F.min(F.struct("collected_at", "id")).alias("f"))
         first = self._save(first.select("vacancy", "f.id", "f.collected_at"), load, "accepted")
-        self._save(x.select("text_id", "vacancy").join(members.select("text_id"), "text_id", "left_anti").groupBy("text_id").agg(F.min("vacancy").alias("vacancy")), load, "members")
+        fresh = x.select("text_id", "vacancy").distinct()
+        self._save(fresh.join(known.select("text_id"), "text_id", "left_anti") if before else fresh, load, "members")
         done = x.join(first.select("vacancy", F.col("id").alias("new_id")), "vacancy", "left").select("id", F.coalesce("held_id", "new_id").alias("accepted_id"))
         return self._save(done, load, "decisions")
 
+    @staticmethod
+    def _picked(history: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+        """The rows of the history with one of the ``ids``; the history is not moved while the ids are few."""
+        ids = cut(ids)
+        return cut(history.join(sized_broadcast(ids, ids.count()), key, "left_semi"))
+
     @staticmethod
     def _candidates(mine: DataFrame, older: list[DataFrame]) -> DataFrame:
         """(a, b, same_url, same_contact): b a text of the batch, a one of the batch or of the history, with a common key.
 
         A key only one text has, which is nearly every key, is dropped before the batch is joined with itself.
         """
-        busy = mine.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        inside = mine.join(busy, "key").select("key", F.col("text_id").alias("b"))
+        busy = mine.groupBy("key").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").select("key")
+        inside = cut(mine.join(busy, "key").select("key", F.col("text_id").alias("b")).distinct())
         found = inside.join(inside.withColumnRenamed("b", "a"), "key").where("a < b")
         for keys in older:
             found = found.unionByName(keys.select("key", F.col("text_id").alias("a")).join(mine.select("key", F.col("text_id").alias("b")), "key").where("a <> b"))
@@ -357,12 +387,13 @@ class HistoryStore:
         return found.groupBy("a", "b").agg(F.max(kind == URL).alias("same_url"), F.max(kind == CONTACT).alias("same_contact"))
 
     @staticmethod
-    def _links(pairs: DataFrame, rows: DataFrame, older: DataFrame) -> DataFrame:
+    def _links(pairs: DataFrame, rows: DataFrame, older: DataFrame | None) -> DataFrame:
         """(a, b) of the pairs that verification keeps; the texts they need are read once and only they are moved."""
         pairs = cut(pairs)
         need = cut(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct())
         need = sized_broadcast(need, need.count(), 100_000)
-        texts = cut(rows.select(*_SIDE).unionByName(older.select(*_SIDE)).join(need, "text_id", "left_semi").dropDuplicates(["text_id"]))
+        held = rows.select(*_SIDE) if older is None else rows.select(*_SIDE).unionByName(older.select(*_SIDE))
+        texts = cut(held.join(need, "text_id", "left_semi").dropDuplicates(["text_id"]))
         side = lambda x: texts.select(*[F.col(c).alias(f"{c}_{x}") for c in _SIDE])
         both = pairs.join(side("a"), pairs.a == F.col("text_id_a")).join(side("b"), pairs.b == F.col("text_id_b"))
         return cut(verified(both).select("a", "b"))
@@ -383,7 +414,7 @@ def _days(jobs: DataFrame, loads: int) -> list[tuple[object, object]]:
     return list(zip([None, *ends], [*ends, None]))
 
 
-def repeats(jobs: DataFrame, regions: DataFrame, loads: int = 4, store: HistoryStore | None = None) -> DataFrame:
+def repeats(jobs: DataFrame, regions: DataFrame, loads: int = 2, store: HistoryStore | None = None) -> DataFrame:
     """(job_id_a, job_id_b): each later row of a vacancy with the accepted one, smaller id first.
 
     The table goes through a store, days in order; several days are added as one load, which changes no answer, since
