@@ -29,7 +29,6 @@ NOISE = (
 )
 #: Weights of single characters (Latin, other), bigrams, skip-bigrams and trigrams.
 W_LATIN, W_OTHER, W_BI, W_SKIP, W_TRI = 0.5, 1.0, 1.0, 0.6, 0.7
-MAX_REFERENCE_FORMS = 200_000
 
 
 def _grams_py(s: str) -> Counter:
@@ -59,8 +58,6 @@ def reference_index(names: list[str]) -> tuple[list[tuple[str, str, str, float]]
     """Rows (name, form, gram, unit weight), rows (gram, idf) and the idf of a gram no form has."""
     forms = sorted({(n, _norm_py(f)) for n in names if n for f in _forms(n)})
     forms = [(n, f) for n, f in forms if f]
-    if len(forms) > MAX_REFERENCE_FORMS:
-        raise ValueError(f"the reference list has {len(forms)} forms; at most {MAX_REFERENCE_FORMS} are indexed")
     df = Counter(g for _, f in forms for g in _grams_py(f))
     idf = {g: math.log(1 + len(forms) / (n + 0.5)) for g, n in df.items()}
     rows = []
@@ -96,8 +93,9 @@ def match_values(values: DataFrame, names: list[str], threshold: float = 0.25, m
     distinct = values.select("value").where(F.col("value").isNotNull()).groupBy("value").agg(F.lit(1).alias("_one")).drop("_one")
     if not index:
         return distinct.select("value", F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("score"))
-    index_df = F.broadcast(fixed_rows(spark, index, "name string, form string, gram string, rw double"))
-    idf_df = F.broadcast(fixed_rows(spark, idf, "gram string, idf double"))
+    # about thirty rows a form: a long reference list is joined by shuffling
+    index_df = sized_broadcast(fixed_rows(spark, index, "name string, form string, gram string, rw double"), len(index))
+    idf_df = sized_broadcast(fixed_rows(spark, idf, "gram string, idf double"), len(idf))
     grams = (
         distinct.select("value", F.explode(_value_variants(F.col("value"))).alias("variant"))
         .select("value", "variant", F.explode(_gram_array(F.col("variant"))).alias("x"))

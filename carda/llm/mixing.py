@@ -4,7 +4,9 @@ Every source is cut into blocks by a hash of the document. A source's quota of t
 blocks and a last pass over the first blocks of a seeded permutation. The blocks go to the output shards by a
 splitting tree: at each node the sources' block counts are divided between the two halves of the shards by a
 multivariate hypergeometric draw, so every quota is met exactly; blocks are drawn disjointly from the permutation and
-documents are shuffled inside their shard. Only tables of sources x blocks and sources x shards reach the driver.
+documents are shuffled inside their shard. The one block of a pass that is taken in part is cut into blocks of its own,
+again and again until what is left is small, and only that is taken document by document. Only tables of sources x
+blocks and sources x shards reach the driver. The tokenizer's vocabulary is read on the driver and sent along.
 
 Defined cases: documents with null or empty text, or of a source without target, are not used; a target source without
 documents is reported with share 0 and does not bound the rest; repeated document ids are separate documents that
@@ -23,32 +25,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carda.session import cut, fixed_rows
+from carda.session import cut, fixed_rows, sized_broadcast
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: How byte-level BPE cuts text into words before merging, used where the tokenizer package names no pattern.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCKS, SHARDS = 256, 64
+#: Tokens of a block taken document by document, at most; a larger one is cut into BLOCKS blocks first.
+SMALL = 20_000_000
+
+
+def _pattern(pattern: str | None) -> str:
+    """How text is cut into words before merging: as given, else as the tokenizer package says. Sizes depend on it."""
+    if pattern is not None:
+        return pattern
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError as e:
+        raise RuntimeError("name the tokenizer's word pattern: its package is not installed here") from e
+    return PATTERN
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mix", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id") -> DataFrame:
-    """(doc_id, source, n_tokens) of the documents with text and source. ``tokenizer`` must be readable everywhere."""
+def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", pattern: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens) of the documents with text and source. ``tokenizer`` is read on the driver alone."""
+    words = _pattern(pattern)
+    with open(tokenizer, "rb") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())  # about a megabyte, whatever the corpus
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(vocabulary.value, words).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
 
@@ -103,28 +114,60 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None,
     return out, pd.DataFrame({"source": list(share), "target_share": list(share.values())})
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 1) -> DataFrame:
+def _path(level: int, seed: int, blocks: int):
+    """Where a document lies: its block, and the block within that, down to ``level``."""
+    part = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "doc_id"), F.lit(blocks)).cast("string")
+    return F.concat_ws("/", *[part(k) for k in range(level + 1)])
+
+
+_ENTRY = "source string, copy_no int, path string, shard int, keep_tokens long"
+
+
+def _taken(sized: DataFrame, rows: list[tuple], level: int, seed: int, blocks: int) -> DataFrame:
+    """The documents of the given blocks with the block's entry."""
+    chosen = sized_broadcast(fixed_rows(sized.sparkSession, rows, _ENTRY), len(rows), 500_000)
+    return sized.withColumn("path", _path(level, seed, blocks)).join(chosen, ["source", "path"])
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 1, pattern: str | None = None, small: int = SMALL) -> DataFrame:
     """(doc_id, source, copy_no, shard, order_key, n_tokens): the mix, a row for each use of a document.
 
     Without ``total_tokens`` the mix is the largest the repeat caps allow. Sorted by order_key, a shard is shuffled.
     """
-    spark = docs.sparkSession
+    sized = cut(count_tokens(docs, tokenizer, pattern=pattern))
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)).cast("int")
-    sized = cut(count_tokens(docs, tokenizer).withColumn("block", block))
-    per_block = sized.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(targets.select("source").distinct()), "source").toPandas()
+    per_block = sized.groupBy("source", block.alias("block")).agg(F.sum("n_tokens").alias("tokens")).join(F.broadcast(targets.select("source").distinct()), "source").toPandas()
     wanted = targets.select("source", "target_share", "max_repeats").toPandas()  # one row a source
-    rows, _ = plan(per_block, wanted, total_tokens, shards, seed)
-    chosen = fixed_rows(spark, rows, "source string, copy_no int, block int, shard int, keep_tokens long")
-    order = F.xxhash64(F.lit(seed), "shard", "copy_no", "doc_id")
-    if len(rows) <= 500_000:
-        chosen = F.broadcast(chosen)
-    used = sized.join(chosen, ["source", "block"])
-    full = used.where("keep_tokens is null")
-    # of a block taken in part: documents in permuted order while they fit nearest to the quota; a block is small
-    part = used.where("keep_tokens is not null")
-    w = Window.partitionBy("source", "copy_no", "block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
-    part = part.withColumn("before", F.sum("n_tokens").over(w) - F.col("n_tokens")).where(F.col("before") + F.col("n_tokens") / 2 <= F.col("keep_tokens")).drop("before")
-    return full.unionByName(part).select("doc_id", "source", "copy_no", "shard", order.alias("order_key"), "n_tokens")
+    planned, _ = plan(per_block, wanted, total_tokens, shards, seed)
+    rows = [(s, k, str(b), shard, keep) for s, k, b, shard, keep in planned]
+    size = {(r.source, str(r.block)): int(r.tokens) for r in per_block.itertuples()}
+    cols = ("doc_id", "source", "copy_no", "shard", "n_tokens")
+    level, out = 0, None
+    while True:
+        whole = [r for r in rows if r[4] is None]
+        large = [r for r in rows if r[4] is not None and size[r[0], r[2]] > small and level < 7]
+        last = [r for r in rows if r[4] is not None and r not in large]
+        # documents of small blocks in permuted order while they fit nearest to the quota
+        w = Window.partitionBy("source", "copy_no", "path").orderBy(F.xxhash64(F.lit(seed - 1), "doc_id"), "doc_id")
+        part = _taken(sized, last, level, seed, blocks).withColumn("before", F.sum("n_tokens").over(w) - F.col("n_tokens"))
+        got = _taken(sized, whole, level, seed, blocks).select(*cols).unionByName(part.where(F.col("before") + F.col("n_tokens") / 2 <= F.col("keep_tokens")).select(*cols))
+        out = got if out is None else out.unionByName(got)
+        if not large:
+            break
+        # what is taken in part of a large block is taken of its own blocks, in order of their hash
+        inner = _taken(sized, large, level, seed, blocks).select("source", "copy_no", "shard", "keep_tokens", F.col("path").alias("outer"), _path(level + 1, seed, blocks).alias("path"), "n_tokens")
+        per = inner.groupBy("source", "copy_no", "shard", "outer", "keep_tokens", "path").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # blocks x blocks taken in part
+        rows = []
+        size = {(r.source, r.path): int(r.tokens) for r in per.itertuples()}
+        for (s, k, shard, _, keep), own in per.groupby(["source", "copy_no", "shard", "outer", "keep_tokens"]):
+            left = int(keep)
+            for r in sorted(own.itertuples(), key=lambda r: int(r.path.rpartition("/")[2])):
+                if left <= 0:
+                    break
+                rows.append((s, int(k), r.path, int(shard), None if r.tokens <= left else left))
+                left -= min(int(r.tokens), left)
+        level += 1
+    return out.select("doc_id", "source", "copy_no", "shard", F.xxhash64(F.lit(seed), "shard", "copy_no", "doc_id").alias("order_key"), "n_tokens")
 
 
 def actual_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

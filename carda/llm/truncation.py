@@ -1,9 +1,11 @@
 """Values cut at a field limit or in transfer.
 
-Three kinds of evidence are joined per record. A stack automaton over quotes, brackets, markup tags and escapes says
-what is left open at the end and whether a multi-byte character was broken. The source's own length distribution says
-whether values pile up at a limit. The corpus says how often text that reads like the record's end really ends there
-(at a terminator or a clause break) instead of going on: the table's baseline of missing terminators.
+A stack automaton reads every value from end to end over quotes, brackets, markup tags and escapes and says what is left
+open at its end, whether a multi-byte character was broken, and whether the value ends with a terminator. Each source has
+its own baseline of how many of its values end with a terminator, and how many leave something open: an open structure or
+a missing terminator counts where the source hardly has them. Where the structure leaves it open (titles have no
+terminators), two statistics decide: lengths a source's values pile up at, and how often text that reads like the value's
+end really ends there.
 
 Defined cases: null and empty values are not cut; a value of one character is judged like any other; the whole value
 is read, however long; repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored.
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carda.session import cut
+from carda.session import cut, sized_broadcast
 
 #: Lengths of the end contexts, the longest with enough support decides.
 CONTEXTS = (10, 6, 4)
@@ -29,14 +31,15 @@ _FULL_STOPS, _GOES_ON = "。！？!?.\n", "，,;；、-（(【《&"
 _PRIME = 0x9E3779B97F4A7C15
 _OPEN, _CLOSE = "([{（【《「『“«¿¡", ")]}）】》」』”»?!"
 _PAIR = dict(zip(_OPEN, _CLOSE))
-_TOKENS = re.compile(r"[()\[\]{}（）【】《》「」『』“”«»]|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|</?[a-zA-Z][^<>\n]{0,40}$|&(?:#\w{0,6}|[a-zA-Z]{1,7})$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%(?:[0-9A-Fa-f])?$")
+_TOKENS = re.compile(r"[()\[\]{}（）【】《》「」『』“”«»¿¡?!]|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|</?[a-zA-Z][^<>\n]{0,40}$|&(?:#\w{0,6}|[a-zA-Z]{1,7})$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%(?:[0-9A-Fa-f])?$")
 _ELLIPSIS = re.compile(r"(?:\.{2,}|…+)\s*$")
 #: What a cut leaves of a broken multi-byte character.
 _BROKEN = re.compile("[�\ud800-\udbff]+$")
 
 
 def structure(text: str) -> int:
-    """Bit flags of the automaton: 1 something opened late is still open, 2 broken character, 4 ellipsis, 8 half markup or escape."""
+    """Bit flags of the automaton: 1 a bracket, quote or element is still open, 2 broken character, 4 ellipsis, 8 half markup
+    or escape, 16 only an inverted mark is still open, which people often leave so."""
     flags, stack = 0, []
     if _BROKEN.search(text):
         flags |= 2
@@ -47,20 +50,22 @@ def structure(text: str) -> int:
         if t[0] == "<" and t[-1] == ">":
             if m[2]:
                 if m[1]:
-                    while stack and stack[-1][0] != m[2].lower():
-                        stack.pop()
-                    if stack:
-                        stack.pop()
+                    if m[2].lower() in stack:
+                        while stack.pop() != m[2].lower():
+                            pass
                 elif not t.endswith("/>") and m[2].lower() not in ("br", "hr", "img", "input", "meta", "link"):
-                    stack.append((m[2].lower(), m.start()))
+                    stack.append(m[2].lower())
         elif t[0] in "<&\\" or (t[0] == "%" and m.end() == len(text) and len(t) == 2):
             flags |= 8
         elif t in _PAIR:
-            stack.append((_PAIR[t], m.start()))
-        elif stack and stack[-1][0] == t:
-            stack.pop()
-    if stack and stack[-1][1] >= len(text) - 25:
+            stack.append(_PAIR[t])
+        elif t in stack:  # what was opened inside and never closed is given up
+            while stack.pop() != t:
+                pass
+    if any(t not in "!?" for t in stack):
         flags |= 1
+    elif stack:
+        flags |= 16
     return flags
 
 
@@ -137,13 +142,20 @@ def _tails(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08, at_limit: float = 0.45) -> DataFrame:
-    """(src_table, row_id, source, text) -> (src_table, row_id, source, flags, ratio, limited, cut)."""
+def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08, at_limit: float = 0.45, usual: float = 0.9, rare: float = 0.02) -> DataFrame:
+    """(src_table, row_id, source, text) -> (src_table, row_id, source, flags, ratio, limited, unclosed, unended, cut).
+
+    ``unclosed``: a structure is open in a source of which at most a share of ``rare`` leaves one open. ``unended``: no
+    terminator in a source of which a share of ``usual`` ends with one.
+    """
     values = values.select("src_table", "row_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
     tail_udf = F.pandas_udf(_tails, "struct<flags:int,bare:int,bytes:int,last:int,own:boolean,bins:array<bigint>>")
     counts = values.select("src_table", "text").mapInPandas(_context_counts, "src_table string, k int, bin long, total long, ended long")
     counts = counts.groupBy("src_table", "k", "bin").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended"))
     tails = cut(values.select("src_table", "row_id", "source", F.xxhash64("text").alias("copy"), tail_udf("text").alias("t")).select("src_table", "row_id", "source", "copy", "t.*"))
+    distinct = tails.dropDuplicates(["src_table", "source", "copy"])
+    base = distinct.groupBy("src_table", "source").agg(F.avg((F.col("last") == 2).cast("int")).alias("ended_share"), F.avg((F.col("flags").bitwiseAND(1) != 0).cast("int")).alias("open_share"))
+    base = cut(base.withColumnRenamed("source", "s"))
     copies = tails.groupBy("src_table", "copy").agg(F.count("*").alias("copies"))
     # limits: lengths a source's values pile up at, in characters or bytes, with nothing much beyond
     lengths = tails.where("bare > 0").dropDuplicates(["src_table", "source", "copy"]).select("src_table", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("bare").alias("n")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("n")))).alias("x"))
@@ -172,6 +184,10 @@ def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08,
     x = x.join(by_byte, (x.src_table == by_byte.src_table) & x.source.eqNullSafe(by_byte.s) & (x.bytes == by_byte.bytes), "left").select(x["*"], "byte_share")
     share = F.coalesce(F.greatest("char_share", "byte_share"), F.lit(0.0))
     ratio = F.when(F.col("last") == 2, 1.0).when(F.col("last") == 1, 0.0).otherwise(F.coalesce("ratio", F.lit(0.5)))
+    base = sized_broadcast(base.select(F.col("src_table").alias("st"), "s", "ended_share", "open_share"), base.count())  # a row a source
+    x = x.join(base, (x.src_table == F.col("st")) & x.source.eqNullSafe(F.col("s")), "left")
+    unclosed = (F.col("flags").bitwiseAND(1) != 0) & (F.col("open_share") <= rare) & (F.col("last") != 2)
+    unended = (F.col("last") != 2) & (F.col("ended_share") >= usual)
     is_cut = (
         (F.col("flags").bitwiseAND(2) != 0)
         | (F.col("flags").bitwiseAND(8) != 0)
@@ -179,9 +195,11 @@ def judge_truncation(values: DataFrame, min_support: int = 4, low: float = 0.08,
         | ((share > 0.4) & (ratio < at_limit))
         | ((share > 0.85) & (F.col("last") != 2))
         | ((F.col("flags").bitwiseAND(4) != 0) & (ratio < at_limit))
-        | ((F.col("flags").bitwiseAND(1) != 0) & (ratio < at_limit))
+        | unclosed
+        | (unended & (ratio < at_limit))
+        | ((F.col("flags").bitwiseAND(17) != 0) & (ratio < at_limit))
     )
-    return x.select("src_table", "row_id", "source", "flags", ratio.alias("ratio"), share.alias("limited"), is_cut.alias("cut"))
+    return x.select("src_table", "row_id", "source", "flags", ratio.alias("ratio"), share.alias("limited"), unclosed.alias("unclosed"), unended.alias("unended"), is_cut.alias("cut"))
 
 
 def listing_values(jobs: DataFrame, posts: DataFrame) -> DataFrame:

@@ -224,6 +224,23 @@ def test_common_run_equals_the_table():
         assert leakage.common_run(a, b) == t[-1, -1]
 
 
+def test_automaton_reads_from_end_to_end():
+    f = truncation.structure
+    assert f("(contrato indefinido con todas las pagas incluidas y") == 1 and f("a (b) «c» <b>x</b> ¡Hola! ¿Sí?") == 0
+    assert f("x (a [b c) d") == 0 and f("<b>negrita") == 1 and f("</b> x") == 0 and f("¡Hola") == 16
+    assert f("x ...") == 4 and f("x &nbs") == 8 and f("x <a hre") == 8 and f("x \ufffd") == 2 and f("") == 0
+
+
+def test_open_structures_and_missing_terminators_count_by_source(spark):
+    """One source always closes and ends its values, the other never does: only the first one's odd value is cut."""
+    rows = [(i, "tidy", f"Texto número {i} (con detalle) que acaba bien, de veras, en la calle {i * 7}.") for i in range(60)]
+    rows += [(100 + i, "loose", f"- punto {i * 13} (sin cerrar, linea {i}") for i in range(60)]
+    rows += [(900, "tidy", "Se ofrece puesto fijo (contrato indefinido con pagas incluidas y"), (901, "loose", "- otra cosa (sin cerrar del todo")]
+    df = spark.createDataFrame(rows, "row_id long, source string, text string").withColumn("src_table", F.lit("t"))
+    got = {r["row_id"]: (r["unclosed"], r["unended"], r["cut"]) for r in truncation.judge_truncation(df).collect()}
+    assert got[900] == (True, True, True) and got[901][:2] == (False, False) and not got[0][2]
+
+
 # --- history
 
 

@@ -177,4 +177,9 @@ def test_mix_meets_shares_and_caps(spark):
         assert s[k]["actual_share"] == pytest.approx(share, abs=0.01)
     assert s["gone"]["actual_share"] == 0 and s["a"]["most_uses"] <= 3 and s["b"]["most_uses"] <= 2 and s["c"]["most_uses"] <= 1
     assert m.groupBy("doc_id", "copy_no").count().where("count > 1").count() == 0
+    # blocks taken in part are cut again until they are small: the shares stay exact to within a document
+    deep = mixing.mix(docs, targets, shards=3, blocks=4, small=100)
+    d = {x["source"]: x for x in mixing.actual_shares(deep, targets).collect()}
+    assert all(d[k]["actual_share"] == pytest.approx(share, abs=0.01) for k, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert deep.groupBy("doc_id", "copy_no").count().where("count > 1").count() == 0 and d["c"]["most_uses"] <= 1
     assert mixing.mix(docs.limit(0), targets).count() == 0
