@@ -29,15 +29,18 @@ def get_session(app: str = "carda", cores: int | str = 8, shuffle_partitions: in
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one is made only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary one; a cluster
+    has no folder all executors share unless it names one, so that is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
     if configured:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if current.isEmpty():
             sc.setCheckpointDir(configured)
         return configured
-    current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="carda-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -49,6 +52,8 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+#: Splits above which a table counts as large enough to be left as it lies.
+SPREAD = 64
 _shipped: set[str] = set()
 
 
@@ -73,9 +78,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a small table comes in fewer splits; a table of enough splits is left as it is."""
+    """Rows over all cores where a small table would leave more than half of them idle; any other is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= min(cores, SPREAD) else df
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
