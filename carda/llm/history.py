@@ -40,6 +40,8 @@ CONTAINED = 0.7
 #: Lowest two bits of a key: a band of the text, the address, the contact.
 TEXT, URL, CONTACT = 0, 1, 2
 _MASK = np.uint64(0xFFFFFFFF)
+#: Hashes neither repeat nor compress.
+_PLAIN_FILES = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
 
 
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +166,8 @@ def shop_key(company: Column) -> Column:
     bare = F.regexp_replace(fold_accents(F.lower(fold_han(company))), "\uff08[^\uff09]*\uff09|\\([^)]*\\)|★|急聘中|<<<|>>>", "")
     brand = F.regexp_extract(F.btrim(bare), r"^((?:\p{L}+ ){0,2}\p{IsHan}{2,})", 1)
     brand = F.regexp_replace(F.regexp_replace(brand, "有限公司|有限公?$|有$", ""), " ", "")
-    return F.when((F.length(brand) >= 2) & ~company.isin("保密", "某店", "个人"), brand)
+    # the array binds the brand once
+    return F.when(~company.isin("保密", "某店", "个人"), F.transform(F.array(brand), lambda b: F.when(F.length(b) >= 2, b))[0])
 
 
 # Query parameters that only say where a visitor came from.
@@ -314,7 +317,7 @@ class HistoryStore:
         where = f"{self.path}/load={load}/keys"
         if write is not None:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            write.repartition(self.buckets, "key").write.mode("overwrite").bucketBy(self.buckets, "key").sortBy("key").option("path", where).saveAsTable(name)
+            write.repartition(self.buckets, "key").write.mode("overwrite").bucketBy(self.buckets, "key").sortBy("key").options(**_PLAIN_FILES).option("path", where).saveAsTable(name)
         elif name not in self._tables:
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (text_id BIGINT, key BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{where}'")
         self._tables.add(name)
