@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carda.functions.contact import phone_main
@@ -150,11 +150,16 @@ def apply_rejudge(jobs: DataFrame, verdicts: DataFrame) -> DataFrame:
 def exact_repost(posts: DataFrame, days: int = 7) -> DataFrame:
     """(id, earlier_id): the newest earlier visible post of the same phone and content within ``days`` before.
 
-    One ordered pass per (phone, content) with the previous row; nothing is paired.
+    A group is cut into hours: inside one each row looks at the row before it, and the first of an hour at the last row
+    of the hour before, which is known from one row an hour. Nothing is paired, and a mass repost is spread.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("phone_norm", "content_hash").orderBy("created_at", "id")
     x = posts.where("status in (0, 1) and phone_norm is not null and phone_norm <> ''").select("id", "phone_norm", "content_hash", "created_at")
-    x = x.select("id", "created_at", F.lag("id").over(w).alias("earlier_id"), F.lag("created_at").over(w).alias("earlier_at"))
-    return x.where(F.col("earlier_at") > F.col("created_at") - F.make_dt_interval(F.lit(days))).select("id", "earlier_id")
+    x = x.withColumn("_hour", F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 3_600_000_000))
+    group = ["phone_norm", "content_hash"]
+    inside = Window.partitionBy(*group, "_hour").orderBy("created_at", "id")
+    hours = x.groupBy(*group, "_hour").agg(F.max(F.struct("created_at", "id")).alias("last"))
+    hours = hours.select(F.col("phone_norm").alias("p"), F.col("content_hash").alias("c"), F.col("_hour").alias("h"), F.lag("last").over(Window.partitionBy(*group).orderBy("_hour")).alias("before"))
+    x = x.withColumn("near", F.lag(F.struct("created_at", "id")).over(inside))
+    x = x.join(hours, (F.col("phone_norm") == F.col("p")) & F.col("content_hash").eqNullSafe(F.col("c")) & F.col("_hour").eqNullSafe(F.col("h")), "left")
+    e = F.coalesce("near", "before")
+    return x.where(e["created_at"] > F.col("created_at") - F.make_dt_interval(F.lit(days))).select("id", e["id"].alias("earlier_id"))

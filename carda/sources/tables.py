@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carda.operators.parse import to_utf8
 from carda.session import table
 
 #: Columns of the tables the engine reads, for sources that carry no schema of their own.
@@ -38,6 +39,12 @@ def read_pages_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def pages_from_files(spark: SparkSession, path: str, site: str, charset: str = "UTF-8") -> DataFrame:
+    """(id, source_site, source_url, raw_html) of page files in one charset, as UTF-8 markup; ids follow the file's address."""
+    x = read_pages_binary(spark, path)
+    return x.select(F.xxhash64("path").alias("id"), F.lit(site).alias("source_site"), F.col("path").alias("source_url"), to_utf8(F.col("content"), charset).alias("raw_html"))
+
+
 def fingerprints(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """(id, simhash) of the rows that have one; the filter and both columns reach the scan."""
     return table(spark, sf_dir, name).where("simhash is not null").select("id", "simhash")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from carda.functions import codes, contact
 from carda.operators import crawl, gates, ledger, parse, requests
+from carda.sources import tables
 
 PAGE = """<div class="list"><div class="item"><a class="t" href="/a?x=1&amp;y=2">Uno</a><span class="pay">1200</span><i class="who">联系人：王先生 · 电话</i><b class="d">2026/7/4</b><em class="tel">612345678</em></div>
 <div class="item"><a class="t" href="/a?x=1&amp;y=2">Otra vez</a></div><div class="item"><a class="t" href="#no">Sin</a></div><div class="item"><a class="t" href="b"></a></div><div class="item"><a class="t" href="b">Dos</a></div></div>"""
@@ -131,3 +132,14 @@ def test_publish_rules(spark):
     df = spark.createDataFrame(rows, "id long, content string, contact_name string, phone string, wechat string, region_id int, category_id int, poster_type int, user_id long, status int, post_ip binary, at string").withColumn("created_at", F.col("at").cast("timestamp_ntz"))
     got = {r["id"]: r["verdict"] for r in requests.validate_posts(df, reg, cat).collect()}
     assert got == {i: v for i, (_, v) in enumerate(cases)}
+
+
+def test_page_files_of_a_charset(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes('<html><head><meta charset="gb2312"></head><h1>招聘</h1><meta charset="x"></html>'.encode("gb18030"))
+    p = tables.pages_from_files(spark, str(tmp_path / "*.html"), "s", "GB18030")
+    html = p.first()["raw_html"]
+    assert html.startswith('<html><head><meta charset="utf-8">') and '<meta charset="x">' in html
+    assert parse.page_records(p, [SITE]).first()["title"] == "招聘"
+    bad = spark.createDataFrame([(bytearray(b"a\xffb"),), (None,)], "b binary")
+    for charset in ("UTF-8", "GB18030"):
+        assert [r[0] for r in bad.select(parse.to_utf8(F.col("b"), charset)).collect()] == ["a\ufffdb", None]
