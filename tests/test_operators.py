@@ -76,6 +76,63 @@ def test_hamming_probing_equals_brute_force(spark, radius):
     assert best == brute
 
 
+def cluster(spark, n=1500):
+    """Fingerprints that nearly all lie within 8 of each other, none of them equal, hardly any within 3."""
+    r = random.Random(n)
+    prints = sorted({0x5A5A5A5A5A5A5A5A ^ sum(1 << b for b in r.sample(range(63), 4)) for _ in range(n)})
+    r.shuffle(prints)
+    return list(enumerate(prints)), spark.createDataFrame(list(enumerate(prints)), "id long, simhash long")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables past the size Spark broadcasts by itself."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def best_of(probe, base, radius, allowed):
+    out = {}
+    for a, x in probe:
+        near = [(d, b) for b, y in base if allowed(a, b) and (d := ((x ^ y) & (2**64 - 1)).bit_count()) <= radius]
+        if near:
+            out[a] = min(near)
+    return out
+
+
+def shuffled_records(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gw = sc._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gw.new_array(gw.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("exclude, allowed", [(None, lambda a, b: True), ("self", lambda a, b: a != b), ("later", lambda a, b: b < a)])
+def test_nearest_of_a_cluster_writes_no_pairs(spark, no_broadcast, exclude, allowed):
+    rows, df = cluster(spark)
+    probe, base = (rows, rows) if exclude else (rows[:700], rows[700:])
+    before = shuffled_records(spark)
+    got = hamming.nearest(df.where("id < 700") if not exclude else df, df.where("id >= 700") if not exclude else df, 8, exclude).collect()
+    assert {x["id"]: (x["dist"], x["best_id"]) for x in got} == best_of(probe, base, 8, allowed)
+    assert shuffled_records(spark) - before < 40 * len(rows)
+
+
+@pytest.mark.parametrize("exclude, allowed", [(None, lambda a, b: True), ("self", lambda a, b: a != b), ("later", lambda a, b: b < a)])
+def test_nearest_in_many_parts_equals_brute_force(spark, monkeypatch, exclude, allowed):
+    monkeypatch.setattr(hamming, "SMALL_PAIRS", 0)
+    r = random.Random(9)
+    base = [(i, r.getrandbits(64) - (1 << 63)) for i in range(80)]
+    base += [(500 + i, base[i % 80][1]) for i in range(40)]
+    # probes that are no rows of the base, some under an id of it
+    probe = [(i * 7, s ^ sum(1 << b for b in r.sample(range(63), r.randrange(0, 12)))) for i, s in base[:100]]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, simhash long")
+    got = {x["id"]: (x["dist"], x["best_id"]) for x in hamming.nearest(frame(probe), frame(base), 8, exclude).collect()}
+    assert got == best_of(probe, base, 8, allowed)
+
+
 @pytest.mark.parametrize("d, contact, status, confidence", [(2, 1, "dup_cross", "high"), (3, 1, "dup_cross", "high"), (4, 1, "review", "low"), (8, 1, "review", "low"), (9, 1, "unique", "high"), (2, 0, "dup_cross", "low"), (3, 0, "review", "low"), (9, 0, "unique", "low")])
 def test_verdict_thresholds(spark, d, contact, status, confidence):
     key = (lambda k: f"{k}|") if contact else (lambda k: None)
