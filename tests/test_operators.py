@@ -141,6 +141,16 @@ def test_verdict_thresholds(spark, d, contact, status, confidence):
     assert (v[1]["status"], v[2]["status"], v[2]["confidence"]) == ("unique", status, confidence)
 
 
+@pytest.mark.parametrize("mode, allowed", [("online", lambda a, b: b < a)])
+def test_judging_a_cluster_writes_no_pairs(spark, no_broadcast, mode, allowed):
+    rows, df = cluster(spark, 1400)
+    jobs = df.select("*", F.lit(None).cast("string").alias("contact_key"), F.lit(None).cast("string").alias("contact_phone"))
+    before = shuffled_records(spark)
+    got = dedup.judge(jobs, None, mode).where("matched_id is not null").collect()
+    assert {x["id"]: (x["hamming_dist"], x["matched_id"]) for x in got} == best_of(rows, rows, 8, allowed)
+    assert shuffled_records(spark) - before < 60 * len(rows)
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7000, 7000), (None, 3)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
