@@ -141,7 +141,7 @@ def test_verdict_thresholds(spark, d, contact, status, confidence):
     assert (v[1]["status"], v[2]["status"], v[2]["confidence"]) == ("unique", status, confidence)
 
 
-@pytest.mark.parametrize("mode, allowed", [("online", lambda a, b: b < a)])
+@pytest.mark.parametrize("mode, allowed", [("online", lambda a, b: b < a), ("rejudge", lambda a, b: a != b)])
 def test_judging_a_cluster_writes_no_pairs(spark, no_broadcast, mode, allowed):
     rows, df = cluster(spark, 1400)
     jobs = df.select("*", F.lit(None).cast("string").alias("contact_key"), F.lit(None).cast("string").alias("contact_phone"))
