@@ -181,6 +181,16 @@ def test_rejudging_a_cluster_against_posts_writes_no_pairs(spark, no_broadcast):
     assert shuffled_records(spark) - before < 60 * len(rows)
 
 
+def test_applying_the_rejudgement_of_a_cluster_writes_no_pairs(spark, no_broadcast):
+    rows, posts, jobs, live = cluster_with_posts(spark)
+    jobs = jobs.select("*", F.lit("unique").alias("dedup_status"), F.lit("high").alias("confidence"), F.lit(1).alias("import_ready"))
+    before = shuffled_records(spark)
+    got = dedup.apply_rejudge(jobs, dedup.judge(jobs, live, "rejudge")).collect()
+    want = {i: ("unique", "high", 1) if status == "unique" else (status, "low", 0) for i, (status, _, _) in brute_verdicts(rows, posts).items()}
+    assert {x["id"]: (x["dedup_status"], x["confidence"], x["import_ready"]) for x in got} == want and len(got) == len(rows)
+    assert shuffled_records(spark) - before < 70 * len(rows)
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (7000, 7000), (None, 3)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
