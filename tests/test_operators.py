@@ -230,3 +230,35 @@ def test_stream_throttle_equals_batch(spark, tmp_path):
     q = throttle_stream(s, ["user_id"], 3600).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert accepted(spark.table("throttled")) == accepted(gates.throttle(e, ["user_id"], 3600))
+
+
+def broadcast_rows(spark):
+    """Rows of all broadcasts so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, total = store.executionsList(), 0
+    for k in range(executions.size()):
+        x = executions.apply(k).executionId()
+        nodes, values = store.planGraph(x).allNodes(), store.executionMetrics(x)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if node.name() == "BroadcastExchange" else ():
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def open_among_settled(spark):
+    """A cluster of jobs of which one in nine has no contact: few probes against many rows, as Spark broadcasts them by itself."""
+    rows, df = cluster(spark, 1400)
+    key = F.when(F.col("id") % 9 > 0, "k")
+    jobs = df.select("*", key.alias("contact_key"), F.lit(None).cast("string").alias("contact_phone"))
+    return rows, jobs, {i: best for i, best in best_of(rows, rows, 8, lambda a, b: a != b).items() if i % 9 == 0}
+
+
+def test_rejudging_few_open_jobs_broadcasts_no_variants(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BROADCAST_FINGERPRINTS", 0)
+    rows, jobs, want = open_among_settled(spark)
+    before = broadcast_rows(spark)
+    got = dedup.judge(jobs, None, "rejudge").where("signal = 'simhash' and matched_id is not null").collect()
+    assert {x["id"]: (x["hamming_dist"], x["matched_id"]) for x in got} == want
+    assert broadcast_rows(spark) - before < 20 * len(rows)
