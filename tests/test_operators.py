@@ -262,3 +262,15 @@ def test_rejudging_few_open_jobs_broadcasts_no_variants(spark, monkeypatch):
     got = dedup.judge(jobs, None, "rejudge").where("signal = 'simhash' and matched_id is not null").collect()
     assert {x["id"]: (x["hamming_dist"], x["matched_id"]) for x in got} == want
     assert broadcast_rows(spark) - before < 20 * len(rows)
+
+
+def test_applying_the_rejudgement_of_few_open_jobs_broadcasts_no_variants(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BROADCAST_FINGERPRINTS", 0)
+    rows, jobs, best = open_among_settled(spark)
+    jobs = jobs.select("*", F.lit("unique").alias("dedup_status"), F.lit("high").alias("confidence"), F.lit(1).alias("import_ready"))
+    before = broadcast_rows(spark)
+    got = dedup.apply_rejudge(jobs, dedup.judge(jobs, None, "rejudge")).collect()
+    low = {i: ("dup_cross" if d <= 2 else "review", "low", 0) for i, (d, _) in best.items()}
+    want = {i: low.get(i, ("unique", "high", 1)) if i % 9 == 0 else ("dup_cross", "high", 0) for i, _ in rows}
+    assert {x["id"]: (x["dedup_status"], x["confidence"], x["import_ready"]) for x in got} == want and len(got) == len(rows)
+    assert broadcast_rows(spark) - before < 20 * len(rows)
